@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from needlework import fixed
+from needlework.functions.hits import matched, occurrence_sum, weight_sum
 from needlework.functions.risk import classify_risk, match_flag
 from needlework.operators.dictionary import first_ids
 from needlework.operators.matching import (
     distinct_score,
     occurrence_score,
+    once,
     score_distinct,
     score_occurrences,
     small_patterns,
@@ -42,24 +44,29 @@ def score_log(
     patterns = small_patterns(first_ids(dictionary) if mode == "first_id" else dictionary)
     score = distinct_score if mode == "distinct" else occurrence_score
     if patterns is not None:
-        return assess(log.withColumn("score", score(F.col("normalized"), patterns)), bounds)
+        return assess(log.select("*", once(score=score(F.col("normalized"), patterns))), bounds)
     scan = score_distinct if mode == "distinct" else score_occurrences
     entries = first_ids(dictionary) if mode == "first_id" else dictionary
     return assess(log.join(scan(log, entries, key), key), bounds)
 
 
 def score_log_all(log: DataFrame, dictionary: DataFrame, key: str = "qid") -> DataFrame:
-    """One row per query and way of counting (column ``algorithm``), from one scan."""
+    """One row per query and way of counting (column ``algorithm``), from one scan.
+
+    The ways differ only in what they add up, so the matches are found once.
+    """
     patterns, first = small_patterns(dictionary), small_patterns(first_ids(dictionary))
     if patterns is None or first is None:
         runs = [score_log(log, dictionary, mode, key=key).withColumn("algorithm", F.lit(mode)) for mode in MODES]
         return runs[0].unionByName(runs[1]).unionByName(runs[2])
-    text = F.col("normalized")
-    scores = [distinct_score(text, patterns), occurrence_score(text, patterns), occurrence_score(text, first)]
+    text, found = F.col("normalized"), F.col("found")
+    kept = F.filter(found, lambda p: p["pid"].isin([p.pid for p in first]))
+    scores = [weight_sum(found), occurrence_sum(found, text), occurrence_sum(kept, text)]
     runs = F.array(
         *[F.struct(F.lit(m).alias("algorithm"), s.alias("score")) for m, s in zip(MODES, scores, strict=True)]
     )
-    return assess(log.select("*", F.inline(runs)))
+    matches = log.select("*", matched(text, patterns).alias("found"))
+    return assess(matches.select(*log.columns, F.inline(runs)))
 
 
 def _accuracy(correct: str = "correct", total: str = "total") -> Column:
@@ -134,11 +141,10 @@ def algorithm_agreement(log: DataFrame, dictionary: DataFrame, key: str = "qid")
     """
     patterns = small_patterns(dictionary)
     if patterns is not None:
-        text = F.col("normalized")
-        both = log.select(
-            key,
-            distinct_score(text, patterns).alias("distinct_score"),
-            occurrence_score(text, patterns).alias("occurrence_score"),
+        text, found = F.col("normalized"), F.col("found")
+        matches = log.select(key, text, matched(text, patterns).alias("found"))
+        both = matches.select(
+            key, once(distinct_score=weight_sum(found), occurrence_score=occurrence_sum(found, text))
         )
     else:
         a = score_distinct(log, dictionary, key).withColumnRenamed("score", "distinct_score")

@@ -49,7 +49,7 @@ def score_distinct(texts: DataFrame, dictionary: DataFrame, key: Keys = "qid", t
     """Sum of the weights of the patterns that occur at all."""
     keys, patterns = _key_list(key), small_patterns(dictionary)
     if patterns is not None:
-        return texts.select(*keys, distinct_score(F.col(text), patterns).alias("score"))
+        return texts.select(*keys, once(score=distinct_score(F.col(text), patterns)))
     return _summed(texts, anchored_hits(texts, dictionary, keys, text), keys, F.col("weight"))
 
 
@@ -59,7 +59,7 @@ def score_occurrences(
     """Sum of weight x start positions; overlapping occurrences all count."""
     keys, patterns = _key_list(key), small_patterns(dictionary)
     if patterns is not None:
-        return texts.select(*keys, occurrence_score(F.col(text), patterns).alias("score"))
+        return texts.select(*keys, once(score=occurrence_score(F.col(text), patterns)))
     hits = anchored_hits(texts, dictionary, keys, text)
     return _summed(texts, hits, keys, F.col("weight") * F.col("hits"))
 
@@ -79,6 +79,15 @@ def occurrence_score(text: Column, patterns: list[Pattern]) -> Column:
     return occurrence_sum(matched(text, patterns), text)
 
 
+def once(**columns: Column) -> Column:
+    """Costly columns as a generator, so that later filters do not repeat the scan.
+
+    Catalyst pushes a filter on a computed column below the projection and evaluates
+    the expression there a second time; it does not move a filter below a generator.
+    """
+    return F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
+
+
 def _summed(texts: DataFrame, hits: DataFrame, keys: list[str], value: Column) -> DataFrame:
     """Sum per text, zero for texts without a hit.
 

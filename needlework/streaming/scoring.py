@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from needlework import fixed
 from needlework.functions.hits import Pattern
 from needlework.operators.evaluate import assess
-from needlework.operators.matching import distinct_score
+from needlework.operators.matching import distinct_score, once
 
 
 def read_stream(spark: SparkSession, folder: str, schema, name: str = "*.parquet") -> DataFrame:
@@ -27,7 +27,7 @@ def stream_score(
     A narrow projection without state, so it runs in append mode and gives the same
     rows as the batch form.
     """
-    return assess(log.withColumn("score", distinct_score(F.col("normalized"), list(patterns))), bounds)
+    return assess(log.select("*", once(score=distinct_score(F.col("normalized"), list(patterns)))), bounds)
 
 
 def stream_risk_windows(
