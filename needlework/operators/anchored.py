@@ -1,10 +1,13 @@
 """The scan for large dictionaries, as an equi-join.
 
-Every pattern is filed under one of its k-grams, the rarest one in the dictionary
-(k = 4, or the pattern length if shorter).  A text can contain the pattern only if
-it contains that k-gram, so joining the distinct k-grams of a text with the anchors
-finds all candidates; ``contains`` confirms them.  Cost per text is its length plus
-its candidates, whatever the size of the dictionary.
+Every pattern is filed under one of its k-grams, the rarest one in the dictionary.
+A text can contain the pattern only if it contains that k-gram, so joining the
+distinct k-grams of a text with the anchors finds all candidates; ``contains``
+confirms them.  Cost per text is its length plus its candidates, whatever the size of
+the dictionary.
+
+k is the largest of ``GRAMS`` that fits into the pattern.  Long grams matter: a third
+of all words may share four letters, hardly any two share eight.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from pyspark.sql import functions as F
 
 from needlework.functions.hits import occurrences
 
-GRAM = 4
+GRAMS = (8, 6, 4, 3, 2, 1)
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 256 * 1024 * 1024
 SALTS = 16
@@ -25,13 +28,17 @@ def grams(text: Column, k: int) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1)))
 
 
+def gram_size(pattern: Column) -> Column:
+    """Length of the grams a pattern is filed under; null for an empty pattern."""
+    return F.coalesce(*[F.when(F.char_length(pattern) >= k, F.lit(k)) for k in GRAMS])
+
+
 def anchors(dictionary: DataFrame, sizes: list[int]) -> DataFrame:
     """Dictionary plus ``gram``, the anchor of each entry, and ``overlap``."""
     entries = dictionary.where(F.col("pattern") != "")
     own = F.lit(None).cast("array<string>")
     for k in sizes:
-        fits = F.char_length("pattern") >= k if k == GRAM else F.char_length("pattern") == k
-        own = F.when(fits, grams(F.col("pattern"), k)).otherwise(own)
+        own = F.when(gram_size(F.col("pattern")) == k, grams(F.col("pattern"), k)).otherwise(own)
     exploded = entries.select("pid", F.explode(own).alias("gram"))
     counts = exploded.groupBy("gram").agg(F.count("*").alias("n"))
     rarest = (
@@ -67,12 +74,11 @@ def anchored_hits(
     The dictionary is measured first.  Within the bounds it is broadcast and only
     confirmed hits leave the scan; beyond them both sides are shuffled.
     """
-    size = F.least(F.char_length("pattern"), F.lit(GRAM))
     measured = (
         dictionary.where(F.col("pattern") != "")
-        .groupBy(size.alias("k"))
+        .groupBy(gram_size(F.col("pattern")).alias("k"))
         .agg(F.count("*").alias("n"), F.sum(F.octet_length("pattern")).alias("bytes"))
-        .collect()  # at most GRAM rows
+        .collect()  # one row per gram size
     )
     sizes = sorted(row["k"] for row in measured)
     filed = anchors(dictionary, sizes)

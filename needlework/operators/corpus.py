@@ -81,13 +81,22 @@ def adjust_to_target(rows: DataFrame, key: str, query: str = "template", risk: s
     )
     texts = {"_own": query, "_longer": "_longer", "_simpler": "_simpler"}
     folded = candidates.select("*", *[normalize_query(F.col(c)).alias(f"{n}_text") for n, c in texts.items()])
-    scored = folded.select("*", *[distinct_score(F.col(f"{n}_text"), patterns).alias(f"{n}_score") for n in texts])
 
-    def fits(score: str) -> Column:
-        return F.col(score).between(F.col("_low"), F.col("_high"))
+    def score(name: str) -> Column:
+        return distinct_score(F.col(f"{name}_text"), patterns)
 
-    use_longer = (F.col("_own_score") < F.col("_low")) & fits("_longer_score")
-    use_simpler = (F.col("_own_score") > F.col("_high")) & fits("_simpler_score")
+    # Each alternative is scored only for the rows that may need it.
+    own = F.col("_own_score")
+    scored = folded.select("*", score("_own").alias("_own_score")).select(
+        "*",
+        F.when(own < F.col("_low"), score("_longer")).alias("_longer_score"),
+        F.when(own > F.col("_high"), score("_simpler")).alias("_simpler_score"),
+    )
+
+    def fits(name: str) -> Column:
+        return F.coalesce(F.col(name).between(F.col("_low"), F.col("_high")), F.lit(False))
+
+    use_longer, use_simpler = fits("_longer_score"), fits("_simpler_score")
 
     def chosen(longer: str, simpler: str, own: str) -> Column:
         return F.when(use_longer, F.col(longer)).when(use_simpler, F.col(simpler)).otherwise(F.col(own))

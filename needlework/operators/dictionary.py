@@ -23,7 +23,10 @@ def _first_rule(pattern: Column, rules: list[tuple[int, list[str]]], default: in
     literal = json.dumps([{"weight": weight, "needles": needles} for weight, needles in rules])
     table = F.from_json(F.lit(literal), "array<struct<weight:bigint,needles:array<string>>>")
     hit = F.filter(table, lambda rule: F.exists(rule["needles"], lambda needle: F.contains(pattern, needle)))
-    return F.coalesce(F.get(hit, F.lit(0))["weight"], F.lit(default).cast("bigint"))
+    weight = F.coalesce(F.get(hit, F.lit(0))["weight"], F.lit(default).cast("bigint"))
+    # A second reference outside the lambda keeps Catalyst from repeating a costly
+    # upstream expression once per needle.
+    return F.when(pattern.isNotNull(), weight)
 
 
 def tiered_weight(pattern: Column, default: int = fixed.DEFAULT_WEIGHT) -> Column:

@@ -189,11 +189,15 @@ def _starts(chunk: str, pattern: str) -> Column:
     return F.filter(offsets, lambda at: (at > 0) | opens)
 
 
+def _flagged(texts: DataFrame, text: str, patterns: list[Pattern]) -> DataFrame:
+    return texts.select("*", once(_hit=F.coalesce(any_matched(F.col(text), patterns), F.lit(False))))
+
+
 def detect_any(texts: DataFrame, dictionary: DataFrame, key: Keys = "qid", text: str = "normalized") -> DataFrame:
     """The texts (all columns) that contain at least one pattern."""
     patterns = small_patterns(dictionary)
     if patterns is not None:
-        return texts.where(any_matched(F.col(text), patterns))
+        return _flagged(texts, text, patterns).where(F.col("_hit")).drop("_hit")
     keys = _key_list(key)
     return texts.join(anchored_hits(texts, dictionary, keys, text).select(*keys), keys, "left_semi")
 
@@ -202,7 +206,7 @@ def detect_none(texts: DataFrame, dictionary: DataFrame, key: Keys = "qid", text
     """The texts (all columns) that contain no pattern at all."""
     patterns = small_patterns(dictionary)
     if patterns is not None:
-        return texts.where(~any_matched(F.col(text), patterns))
+        return _flagged(texts, text, patterns).where(~F.col("_hit")).drop("_hit")
     keys = _key_list(key)
     return texts.join(anchored_hits(texts, dictionary, keys, text).select(*keys), keys, "left_anti")
 

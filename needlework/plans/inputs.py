@@ -55,7 +55,7 @@ def label_events(events: DataFrame) -> DataFrame:
 
 def query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(qid, ts, dataset, query, normalized, expected): one query per event."""
-    return label_events(table(spark, sf_dir, "events"))
+    return label_events(spread(table(spark, sf_dir, "events").select("event_id", "ts", "event_type")))
 
 
 def loose_labels(log: DataFrame) -> DataFrame:

@@ -367,7 +367,7 @@ def template_catalog(spark, sf_dir):
 
 
 def _event_keys(spark, sf_dir):
-    return inputs.table(spark, sf_dir, "events").select("event_id")
+    return spread(inputs.table(spark, sf_dir, "events").select("event_id"))
 
 
 @query
