@@ -88,7 +88,7 @@ def parse_reports(reports: DataFrame) -> DataFrame:
         "file_size": F.regexp_extract("file", FILE_NAME, 3).try_cast("int"),
     }
     numbers = {
-        "patterns": _number(r"Extracted (\d+) patterns", "int"),
+        "patterns": _number(r"(?:Extracted|Successfully read) (\d+) patterns", "int"),
         "loaded": _number(r"Loaded (\d+) queries", "bigint"),
         "total": _number(r"(?m)^Total: (\d+), ", "bigint"),
         "correct": _number(r"(?m)^Total: \d+, Correct: (\d+)", "bigint"),
@@ -101,12 +101,13 @@ def parse_reports(reports: DataFrame) -> DataFrame:
 
 
 # Query block of the current reports; older ones have one line per query.
-# The texts may span lines; the marker of the next line ends them.
+# The texts may span lines; the marker of the next line ends them.  The expected class is
+# any text: logs split at the wrong comma put the rest of the query there.
 _BLOCK = (
     r'(?s)(?:^|\n)Query (\d+): "(.*?)"\n  Normalized: "(.*?)"\n'
-    r"  Score: (-?\d+), computed risk: (\w+), expected: (\w+) \[(\w+)\]"
+    r"  Score: (-?\d+), computed risk: (\w+), expected: (.*?) \[(OK|Mismatch)\]"
 )
-_SHORT = r"(?m)^Query (\d+): computed=(\w+), expected=(\w+)"
+_SHORT = r"(?m)^Query (\d+): computed=(\w+), expected=(.*?)(?:, score=(-?\d+))?(?: \[\w+\])?$"
 
 
 def parse_report_queries(reports: DataFrame) -> DataFrame:
@@ -134,7 +135,7 @@ def parse_report_queries(reports: DataFrame) -> DataFrame:
         F.regexp_extract("block", _SHORT, 1).cast("int").alias("nr"),
         F.lit(None).cast("string").alias("query"),
         F.lit(None).cast("string").alias("normalized"),
-        F.lit(None).cast("bigint").alias("score"),
+        F.regexp_extract("block", _SHORT, 4).try_cast("bigint").alias("score"),
         computed.alias("computed"),
         expected.alias("expected"),
         F.when(computed == expected, "[OK]").otherwise("[Mismatch]").alias("flag"),
