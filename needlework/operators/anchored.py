@@ -21,6 +21,7 @@ GRAMS = (8, 6, 4, 3, 2, 1)
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 256 * 1024 * 1024
 SALTS = 16
+PIECE = 65_536
 
 
 def grams(text: Column, k: int) -> Column:
@@ -34,7 +35,7 @@ def gram_size(pattern: Column) -> Column:
 
 
 def anchors(dictionary: DataFrame, sizes: list[int]) -> DataFrame:
-    """Dictionary plus ``gram``, the anchor of each entry, and ``overlap``."""
+    """Dictionary plus ``gram``, the anchor of each entry, its place ``at``, and ``overlap``."""
     entries = dictionary.where(F.col("pattern") != "")
     own = F.lit(None).cast("array<string>")
     for k in sizes:
@@ -46,7 +47,8 @@ def anchors(dictionary: DataFrame, sizes: list[int]) -> DataFrame:
         .groupBy("pid")
         .agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
     )
-    return entries.select("pid", "pattern", "weight").join(rarest, "pid").withColumn("overlap", _overlap("pattern"))
+    filed = entries.select("pid", "pattern", "weight").join(rarest, "pid")
+    return filed.withColumn("at", F.instr(F.col("pattern"), F.col("gram"))).withColumn("overlap", _overlap("pattern"))
 
 
 def _overlap(pattern: str) -> Column:
@@ -83,18 +85,46 @@ def anchored_hits(
     sizes = sorted(row["k"] for row in measured)
     filed = anchors(dictionary, sizes)
     small = sum(r["n"] for r in measured) <= broadcast_rows and sum(r["bytes"] for r in measured) <= broadcast_bytes
-    text_grams = F.flatten(F.array(*[grams(F.col(text), k) for k in sizes]).cast("array<array<string>>"))
-    exploded = texts.select(*keys, text, F.explode(text_grams).alias("gram"))
+    exploded = _text_grams(texts, keys, text, sizes)
     if small:
         candidates = exploded.join(F.broadcast(filed), "gram")
     else:
         candidates = _shuffled_candidates(exploded, filed, keys).join(texts.select(*keys, text), keys)
-    confirmed = candidates.where(F.contains(text, "pattern"))
+    # Coalesced so that no null check on the text is derived and evaluated beforehand.
+    holds = F.coalesce(F.contains(F.col(text), F.col("pattern")), F.lit(False))
+    confirmed = candidates.where(holds & _first_piece(text))
     count = occurrences(F.col(text), F.col("pattern"), F.col("overlap"))
     kept = [text] if keep_text else []
     return confirmed.select(*keys, *kept, "pid", "pattern", "weight", count.alias("hits"))
 
 
+def _text_grams(texts: DataFrame, keys: list[str], text: str, sizes: list[int]) -> DataFrame:
+    """(keys, text, piece, is_long, gram): the distinct grams of each piece of a text.
+
+    A text is cut into pieces, overlapping by one character less than the longest gram,
+    so that the gram array of a very long text stays small.
+    """
+    ahead = PIECE + max(sizes, default=1) - 1
+    cut = f"(?s)(?=(.{{1,{ahead}}})).{{1,{PIECE}}}"
+    sized = texts.select(*keys, text, (F.char_length(text) > PIECE).alias("is_long"))
+    pieces = F.when(F.col("is_long"), F.regexp_extract_all(F.col(text), F.lit(cut), F.lit(1))).otherwise(F.array(text))
+    cut_texts = sized.select(*keys, text, "is_long", F.posexplode(pieces).alias("piece", "part"))
+    per_size = F.array(*[grams(F.col("part"), k) for k in sizes]).cast("array<array<string>>")
+    return cut_texts.select(*keys, text, "piece", "is_long", F.explode(F.flatten(per_size)).alias("gram"))
+
+
+def _first_piece(text: str) -> Column:
+    """Whether the piece is the one the anchor first starts in.
+
+    Several pieces of a long text may hold the anchor; this keeps one row per text and
+    pattern without a shuffle.  The anchor is taken from the pattern, not from the joined
+    gram: Catalyst would otherwise test every gram of a text before the join.
+    """
+    anchor = F.substring(F.col("pattern"), F.col("at"), F.char_length("gram"))
+    start = F.instr(F.col(text), anchor) - 1
+    return F.when(F.col("is_long"), F.floor(start / PIECE) == F.col("piece")).otherwise(True)
+
+
 def _shuffled_candidates(exploded: DataFrame, filed: DataFrame, keys: list[str]) -> DataFrame:
     """Candidates without broadcasting the dictionary.
 
@@ -103,6 +133,6 @@ def _shuffled_candidates(exploded: DataFrame, filed: DataFrame, keys: list[str])
     once per salt.
     """
     salt = F.pmod(F.xxhash64(*keys), F.lit(SALTS)).cast("int")
-    left = exploded.select(*keys, "gram", salt.alias("salt"))
+    left = exploded.select(*keys, "piece", "is_long", "gram", salt.alias("salt"))
     right = filed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return left.join(right, ["gram", "salt"]).drop("gram", "salt")
+    return left.join(right, ["gram", "salt"]).drop("salt")

@@ -110,6 +110,17 @@ def first_ids(dictionary: DataFrame) -> DataFrame:
     return dictionary.groupBy("pattern").agg(first).select("first.pid", "pattern", "first.weight")
 
 
+def merged_weights(dictionary: DataFrame) -> DataFrame:
+    """One entry per text with the weights of all its ids added up.
+
+    All ids of a text are found together, so sums over matches stay the same while a
+    text filed many times takes part in the scan once.
+    """
+    return dictionary.groupBy("pattern").agg(F.min("pid").alias("pid"), F.sum("weight").alias("weight")).select(
+        "pid", "pattern", "weight"
+    )
+
+
 def duplicates(dictionary: DataFrame) -> DataFrame:
     """Texts filed more than once.
 

@@ -25,7 +25,7 @@ from needlework.functions.hits import (
     weight_sum,
 )
 from needlework.operators.anchored import anchored_hits
-from needlework.operators.dictionary import first_ids
+from needlework.operators.dictionary import first_ids, merged_weights
 
 CHUNK = 4096
 
@@ -50,7 +50,7 @@ def score_distinct(texts: DataFrame, dictionary: DataFrame, key: Keys = "qid", t
     keys, patterns = _key_list(key), small_patterns(dictionary)
     if patterns is not None:
         return texts.select(*keys, once(score=distinct_score(F.col(text), patterns)))
-    return _summed(texts, anchored_hits(texts, dictionary, keys, text), keys, F.col("weight"))
+    return _summed(texts, anchored_hits(texts, merged_weights(dictionary), keys, text), keys, F.col("weight"))
 
 
 def score_occurrences(
@@ -60,7 +60,7 @@ def score_occurrences(
     keys, patterns = _key_list(key), small_patterns(dictionary)
     if patterns is not None:
         return texts.select(*keys, once(score=occurrence_score(F.col(text), patterns)))
-    hits = anchored_hits(texts, dictionary, keys, text)
+    hits = anchored_hits(texts, merged_weights(dictionary), keys, text)
     return _summed(texts, hits, keys, F.col("weight") * F.col("hits"))
 
 

@@ -72,7 +72,9 @@ def _runs(spark, sf_dir):
 @query
 def scan_run_reports(spark, sf_dir):
     path = work_dir(spark, "reports")
-    reports.write_run_reports(_runs(spark, sf_dir), path, ["algorithm", "dataset"])
+    first = reports.first_rows(inputs.query_log(spark, sf_dir), ["dataset"])
+    shown = evaluate.score_log_all(first, dicts.standard_dictionary(spark))
+    reports.write_run_reports(_runs(spark, sf_dir), shown, path, ["algorithm", "dataset"])
     parsed = reports.parse_reports(reports.read_reports(spark, path))
     return parsed.select("algorithm", "dataset", "loaded", "total", "correct", "accuracy", "zero_scores")
 

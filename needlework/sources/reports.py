@@ -27,14 +27,20 @@ def six_digits(x: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"0+$", ""), r"\.$", "")
 
 
-def report_texts(assessed: DataFrame, dims: list[str], key: str = "qid") -> DataFrame:
-    """(dims, value): one report per data set, with its first rows and totals.
+def first_rows(log: DataFrame, dims: list[str], key: str = "qid") -> DataFrame:
+    """The rows a report shows; taken from the plain log, so only they get scored twice.
 
-    Only the ten shown rows per data set are gathered; the window limits each group
-    before the shuffle.
+    The window limits each group inside every map task, before the shuffle.
     """
     rank = F.row_number().over(Window.partitionBy(*dims).orderBy(key))
-    shown = assessed.withColumn("nr", rank).where(F.col("nr") <= SHOWN)
+    return log.withColumn("nr", rank).where(F.col("nr") <= SHOWN)
+
+
+def report_texts(assessed: DataFrame, shown: DataFrame, dims: list[str]) -> DataFrame:
+    """(dims, value): one report per data set, with its first rows and totals.
+
+    ``shown`` is the assessed form of ``first_rows``.
+    """
     nr = F.col("nr") - 1
     block = F.concat_ws(
         "\n",
@@ -56,9 +62,9 @@ def report_texts(assessed: DataFrame, dims: list[str], key: str = "qid") -> Data
     return blocks.join(totals, dims).select(*dims, value.alias("value"))
 
 
-def write_run_reports(assessed: DataFrame, path: str, dims: list[str], key: str = "qid") -> None:
+def write_run_reports(assessed: DataFrame, shown: DataFrame, path: str, dims: list[str]) -> None:
     """One text file per data set under ``dim=value`` folders."""
-    report_texts(assessed, dims, key).write.mode("overwrite").partitionBy(*dims).option("lineSep", "\n").text(path)
+    report_texts(assessed, shown, dims).write.mode("overwrite").partitionBy(*dims).option("lineSep", "\n").text(path)
 
 
 def write_run_metrics(metrics: DataFrame, path: str, dims: list[str]) -> None:

@@ -36,7 +36,7 @@ def work_dir(spark: SparkSession, name: str) -> str:
 
     Only where the session names none (tests, local runs) a temporary folder is used.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if shared:
         return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     return os.path.join(tempfile.mkdtemp(prefix="needlework-"), name)

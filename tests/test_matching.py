@@ -148,3 +148,25 @@ def test_several_key_columns(spark, form):
     assert {(r.a, r.b): r.score for r in got} == {
         (i % 3, i // 3): brute_distinct(x, ENTRIES) for i, x in enumerate(TEXTS)
     }
+
+
+@pytest.mark.parametrize("broadcast_rows", [10**6, 0])
+def test_long_texts_are_cut_into_pieces(spark, monkeypatch, broadcast_rows):
+    monkeypatch.setattr("needlework.operators.anchored.PIECE", 9)
+    rng = random.Random(3)
+    values = ["".join(rng.choice("abcé-") for _ in range(rng.randint(0, 80))) for _ in range(40)]
+    entries = [(0, "ab", 1), (1, "abc", 1), (2, "-é-", 1), (3, "c", 1), (4, "bcab-", 1), (5, "abcabcabca", 1)]
+    values += ["x" * 30 + "abcabcabcabca", "abcabcabcabcabcabcabcabc"]
+    found = anchored_hits(
+        texts(spark, values), dictionary(spark, entries), ["qid"], "normalized", broadcast_rows=broadcast_rows
+    ).collect()
+    want = {(i, k): len(occurrences(x, p)) for i, x in enumerate(values) for k, p, _ in entries if p in x}
+    assert len(found) == len(want)
+    assert {(r.qid, r.pid): r.hits for r in found} == want
+
+
+def test_many_ids_of_one_text(spark, form):
+    entries = [(i, "ab" if i % 3 else f"x{i}", 1) for i in range(30)]
+    t, d = texts(spark, ["abab x3", "x6"]), dictionary(spark, entries)
+    assert _scores(matching.score_distinct(t, d)) == {0: 21, 1: 1}
+    assert _scores(matching.score_occurrences(t, d)) == {0: 41, 1: 1}

@@ -52,21 +52,25 @@ def test_append_writes_no_header(spark, tmp_path):
     assert raw == ["a,low\n", "a,low\n"]
 
 
-def _assessed(spark):
-    log = corpus.label_rows(spark.range(540).withColumnRenamed("id", "qid"), "qid").select(
+def _log(spark):
+    return corpus.label_rows(spark.range(540).withColumnRenamed("id", "qid"), "qid").select(
         "qid",
         F.when(F.col("qid") % 2 == 0, "even").otherwise("odd").alias("dataset"),
         F.col("template").alias("query"),
         F.lower("template").alias("normalized"),
         F.col("risk").alias("expected"),
     )
+
+
+def _assessed(spark, log):
     return evaluate.score_log_all(log, dictionary.standard_dictionary(spark))
 
 
 def test_reports_come_back(spark, tmp_path):
     path, dims = str(tmp_path / "reports"), ["algorithm", "dataset"]
-    assessed = _assessed(spark).cache()
-    reports.write_run_reports(assessed, path, dims)
+    assessed = _assessed(spark, _log(spark)).cache()
+    shown = _assessed(spark, reports.first_rows(_log(spark), ["dataset"]))
+    reports.write_run_reports(assessed, shown, path, dims)
     back = reports.read_reports(spark, path)
     want = {
         (r.algorithm, r.dataset): r for r in evaluate.accuracy_matrix(assessed, dims).where("dataset <> '(all)'").collect()
