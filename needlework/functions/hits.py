@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 EXPRESSION_PATTERNS = 256
 GATE_CHARS = 4
+OWN_GATE_CHARS = 3
+COMMON = " etaoinshrdlucmfwypvbgkjqxz"  # blanks and letters by how often prose has them
 
 
 class Pattern(NamedTuple):
@@ -46,20 +48,31 @@ def gate_groups(patterns: list[Pattern]) -> list[tuple[str, list[Pattern]]]:
     """File every pattern under the gate shared by most patterns still unfiled.
 
     Gates are single characters that are rare in prose (neither letters, digits nor
-    blanks) or pieces of ``GATE_CHARS`` characters.  A pattern sharing nothing is
-    its own gate.
+    blanks) or pieces of ``GATE_CHARS`` characters.  A pattern sharing nothing gets a
+    gate of its own, the rest of it from its rarest character on: looking for a text
+    costs most where its first character is frequent.
     """
     gates = {p: _gates(p.pattern) for p in patterns}
     unfiled = list(patterns)
     groups = []
     while unfiled:
         shared = Counter(gate for p in unfiled for gate in gates[p])
-        gate, size = min(shared.items(), key=lambda g: (-g[1], g[0]), default=(None, 0))
+        gate, size = min(shared.items(), key=lambda g: (-g[1], _commonness(g[0]), g[0]), default=("", 0))
         if size < 2:
             break
         groups.append((gate, [p for p in unfiled if gate in gates[p]]))
         unfiled = [p for p in unfiled if gate not in gates[p]]
-    return groups + [(p.pattern, [p]) for p in unfiled]
+    return groups + [(_own_gate(p.pattern), [p]) for p in unfiled]
+
+
+def _commonness(gate: str) -> int:
+    """0 if the gate starts with no common character, else the higher the more common."""
+    return len(COMMON) - COMMON.index(gate[0]) if gate[0] in COMMON else 0
+
+
+def _own_gate(pattern: str) -> str:
+    starts = range(max(len(pattern) - OWN_GATE_CHARS + 1, 1))
+    return min((pattern[i:] for i in starts), key=_commonness)
 
 
 def _gates(pattern: str) -> set[str]:
