@@ -109,7 +109,7 @@ def accuracy_matrix(assessed: DataFrame, dims: Sequence[str]) -> DataFrame:
     """
     cells = assessed.rollup(*dims).agg(*run_counts(), F.grouping_id().alias("level"))
     names = [
-        F.when(F.col("level").bitwiseAND(1 << (len(dims) - 1 - i)) != 0, "(all)").otherwise(F.col(d)).alias(d)
+        F.when(F.col("level").bitwiseAND(1 << (len(dims) - 1 - i)) != 0, "(all)").otherwise(F.col(d).cast("string")).alias(d)
         for i, d in enumerate(dims)
     ]
     return cells.select(

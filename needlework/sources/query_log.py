@@ -10,6 +10,7 @@ from needlework.functions.text import normalize_query, strip_outer_quotes, toggl
 
 # No such separator occurs in a log, so a whole line lands in one column.
 _NO_SEPARATOR = "\u0001\u0002\u0001"
+SET_NAME = r"_(Low|Medium|High|Critical)_(\d+)\.csv$"
 
 
 def read_log_lines(spark: SparkSession, path: str, source: bool = False) -> DataFrame:
@@ -68,5 +69,30 @@ def read_query_log(spark: SparkSession, path: str) -> DataFrame:
     return parse_log(read_log_lines(spark, path))
 
 
+def read_named_logs(spark: SparkSession, path: str) -> DataFrame:
+    """As ``read_query_log`` for many files at once, plus what their names tell.
+
+    ``.._Low_100.csv`` gives set_risk ``low`` and set_size ``100``; files that are not
+    there simply add no rows.
+    """
+    log = parse_log(read_log_lines(spark, path, source=True))
+    return log.select(
+        *[c for c in log.columns if c != "file"],
+        F.lower(F.regexp_extract("file", SET_NAME, 1)).alias("set_risk"),
+        F.regexp_extract("file", SET_NAME, 2).alias("set_size"),
+    )
+
+
+def read_numbered_log(spark: SparkSession, path: str) -> DataFrame:
+    """As ``read_query_log``, plus file and qid, the line number in the file.
+
+    Every file is one row first, so this is for files that fit into memory, where the
+    order of the lines matters.  The first line is dropped even if it is blank.
+    """
+    files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
+    numbered = files.select("file", F.posexplode(F.split("value", "\n", -1)).alias("qid", "value"))
+    return parse_log(numbered.where(F.col("qid") > 0))
+
+
 def filter_valid_labels(log: DataFrame, label: str = "expected") -> DataFrame:
     return log.where(is_label(F.col(label)))

@@ -76,6 +76,15 @@ def test_filters_do_not_repeat_the_scan(spark):
     assert plan.count("lambdafunction(Contains(") == 2  # the gate and the pattern, once
 
 
+def test_groups_are_limited_before_the_shuffle(spark):
+    assert _plan(QUERIES["preview_generated"](spark, SF_DIR)).count("WindowGroupLimit") == 2
+
+
+def test_aggregates_are_partial(spark):
+    plan = _plan(QUERIES["pattern_frequency"](spark, SF_DIR))
+    assert "partial_sum" in plan and "partial_count" in plan
+
+
 def test_spread_leaves_large_inputs_alone(spark):
     large = spark.range(0, 1000, 1, 16)
     assert spread(large) is large

@@ -12,6 +12,29 @@ def test_first_line_of_every_file_is_lost(spark, tmp_path):
     assert sorted((r.query, r.expected) for r in rows) == [("a,b", "high"), ("x", "low"), ("y", "medium")]
 
 
+def test_named_files_make_one_matrix(spark, tmp_path):
+    (tmp_path / "sql_dataset_Low_2.csv").write_text("query,risk\n' OR 1=1,low\nOR 1=1,low\n")
+    (tmp_path / "sql_dataset_High_1.csv").write_text("query,risk\n'; DROP TABLE temp,high\n")
+    log = query_log.read_named_logs(spark, str(tmp_path))
+    runs = evaluate.score_log_all(log, dictionary.standard_dictionary(spark))
+    cells = evaluate.accuracy_matrix(runs, ["algorithm", "set_risk", "set_size"]).where("algorithm = 'distinct'")
+    got = {(r.set_risk, r.set_size): (r.total, r.correct) for r in cells.collect()}
+    assert got == {
+        ("low", "2"): (2, 1),
+        ("low", "(all)"): (2, 1),
+        ("high", "1"): (1, 1),
+        ("high", "(all)"): (1, 1),
+        ("(all)", "(all)"): (3, 2),
+    }
+
+
+def test_numbered_lines_keep_file_order(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("\nx,low\n\n" + "".join(f"q{i},low\n" for i in range(20)))
+    log = query_log.read_numbered_log(spark, str(tmp_path))
+    shown = evaluate.preview_queries(evaluate.score_log(log, dictionary.standard_dictionary(spark))).collect()
+    assert [r.query for r in shown] == ["x", *[f"q{i}" for i in range(9)]]
+
+
 def test_split_files_lose_one_line_only(spark, tmp_path):
     (tmp_path / "big.csv").write_text("query,risk\n" + "".join(f"q{i},low\n" for i in range(20_000)))
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
