@@ -5,25 +5,51 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from needlework.llm import language, mixing, packing, repetition, secrets, simhash
+from needlework.llm import language, lz, mixing, packing, quality_model, repetition, scoring, secrets, simhash, url_filter
+from needlework.llm.url_filter import Rule
 
 TOKENIZER = "word_bpe_49k.json"
+RULES = [
+    Rule("allow", "org", "/"),
+    Rule("block", "example.org", "/es/"),
+    Rule("block", "example.org", "/en/1"),
+    Rule("allow", "com", "/fr/"),
+    Rule("block", "com", "/de/"),
+]
+#: Words that mark a host as advertising, gambling, adult or spam.
+BLOCKED_WORDS = ("ads", "adult", "bets", "casino", "pills", "porn", "spam", "xxx")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, tokenizer = table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER)
+    return scoring.score(docs, scoring.counts(docs, tokenizer), tokenizer)
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language.identify(docs.select("doc_id", "text"), language.fit(docs))
     return found.select("doc_id", language.held_out(), "lang_pred", "score")
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.judge_urls(pages, RULES, url_filter.hosts_with_words(pages, BLOCKED_WORDS))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op5_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = quality_model.score(docs, quality_model.fit(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", language.held_out(), "score", "predicted")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_rules(table(spark, sf_dir, "documents"))
 
@@ -32,6 +58,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lz.fingerprint_with_next(table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
@@ -41,10 +71,14 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op2_language_id": op2_language_id,
+    "op3_url_filter": op3_url_filter,
     "op4_secret_scan": op4_secret_scan,
+    "op5_quality_model": op5_quality_model,
     "op6_quality_rules": op6_quality_rules,
     "op7_simhash": op7_simhash,
+    "op8_lz_fingerprint": op8_lz_fingerprint,
     "op9_packing": op9_packing,
     "op10_mixing": op10_mixing,
 }
