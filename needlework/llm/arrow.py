@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 
-def small_batches(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def small_batches(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each holds about ``most`` bytes of text, or a single longer row."""
     for batch in batches:
         if not batch.num_rows:

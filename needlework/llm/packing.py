@@ -59,17 +59,19 @@ class WordIds:
     White space never is part of a token of this tokenizer, so a text's ids are its
     words' ids one after another.  It also lower-cases and cuts between letters and
     punctuation, so a new word is looked up in lower case and without its final marks
-    before it is encoded.  ``most`` bounds the words that are kept.
+    before it is encoded.  At most twice ``most`` words are kept: those met since the last
+    time there were too many, and those met in the period before.
     """
 
     MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 
-    def __init__(self, tokenizer_file: str, most: int = 1_200_000, longest: int = 40):
+    def __init__(self, tokenizer_file: str, most: int = 250_000, longest: int = 40):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.longest = Tokenizer.from_file(tokenizer_file), most, longest
         self.ends = sentence_ends(self.tokenizer)
         self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
 
     def parts(self, word: bytes) -> tuple[bytes, bytes]:
         """Two words with the same ids one after the other; the second may be empty."""
@@ -84,18 +86,26 @@ class WordIds:
     def learn(self, words: set[bytes]) -> list[bytes]:
         """Adds the ids of unknown words; returns those that are too long to be kept."""
         if len(self.known) > self.most:
-            self.known.clear()
-        new = words.difference(self.known)
-        cut = {w: self.parts(w) for w in new}
-        stems = list({p for parts in cut.values() for p in parts if p}.difference(self.known))
-        coded = self.tokenizer.encode_batch_fast([s.decode("utf-8", "replace") for s in stems], add_special_tokens=False)
+            self.known, self.before = {}, self.known
         self.known[b""] = b""
-        for stem, code in zip(stems, coded, strict=True):
-            self.known[stem] = array("I", code.ids).tobytes()
+        new = self.recalled(words.difference(self.known))
+        cut = {w: self.parts(w) for w in new}
+        stems = list(self.recalled({p for parts in cut.values() for p in parts}.difference(self.known)))
+        for at in range(0, len(stems), 1024):
+            part = stems[at : at + 1024]
+            coded = self.tokenizer.encode_batch_fast([s.decode("utf-8", "replace") for s in part], add_special_tokens=False)
+            for stem, code in zip(part, coded, strict=True):
+                self.known[stem] = array("I", code.ids).tobytes()
         for word, (stem, marks) in cut.items():
             self.known[word] = self.known[stem] + self.known[marks]
         return [w for w in {*new, *stems} if len(w) > self.longest]
 
+    def recalled(self, words: set[bytes]) -> set[bytes]:
+        """Takes over what the period before knows of ``words``; returns the rest."""
+        old = words.intersection(self.before)
+        self.known.update((w, self.before[w]) for w in old)
+        return words - old
+
     def of(self, texts: list[bytes]) -> list[np.ndarray]:
         split = [t.split() for t in texts]
         long = self.learn(set().union(*split))
