@@ -65,7 +65,7 @@ class WordIds:
 
     MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 
-    def __init__(self, tokenizer_file: str, most: int = 250_000, longest: int = 40):
+    def __init__(self, tokenizer_file: str, most: int = 500_000, longest: int = 40):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.longest = Tokenizer.from_file(tokenizer_file), most, longest
