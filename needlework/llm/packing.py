@@ -65,7 +65,7 @@ class WordIds:
 
     MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 
-    def __init__(self, tokenizer_file: str, most: int = 500_000, longest: int = 40):
+    def __init__(self, tokenizer_file: str, most: int = 700_000, longest: int = 40):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.longest = Tokenizer.from_file(tokenizer_file), most, longest
@@ -91,8 +91,8 @@ class WordIds:
         new = self.recalled(words.difference(self.known))
         cut = {w: self.parts(w) for w in new}
         stems = list(self.recalled({p for parts in cut.values() for p in parts}.difference(self.known)))
-        for at in range(0, len(stems), 1024):
-            part = stems[at : at + 1024]
+        for at in range(0, len(stems), 8192):
+            part = stems[at : at + 8192]
             coded = self.tokenizer.encode_batch_fast([s.decode("utf-8", "replace") for s in part], add_special_tokens=False)
             for stem, code in zip(part, coded, strict=True):
                 self.known[stem] = array("I", code.ids).tobytes()
@@ -244,7 +244,7 @@ def pack(docs: DataFrame, tokenizer_file: str, how: Packing = Packing()) -> Data
         words = word_ids(tokenizer_file)
         packer = Packer(how, words.ends, TaskContext.get().partitionId() << 40)
         end = np.array([how.end_id], dtype=np.uint32)
-        for batch in small_batches(batches):
+        for batch in small_batches(batches, most=4 << 20):
             rows: list[tuple] = []
             for doc_id, ids in zip(column(batch, "doc_id").to_pylist(), words.of(raw_texts(batch)), strict=True):
                 rows += packer.add(doc_id, np.concatenate([ids, end]))
