@@ -22,6 +22,7 @@ def read_log_lines(spark: SparkSession, path: str, source: bool = False) -> Data
     lines = (
         spark.read.schema("value STRING")
         .option("header", True)
+        .option("lineSep", "\n")
         .option("sep", _NO_SEPARATOR)
         .option("quote", "")
         .option("escape", "")
