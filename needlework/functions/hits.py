@@ -130,10 +130,15 @@ def weight_sum(matches: Column) -> Column:
     return F.aggregate(matches, F.lit(0).cast("bigint"), lambda acc, p: acc + p["weight"])
 
 
-def occurrence_sum(matches: Column, text: Column) -> Column:
-    """Per-occurrence score of a ``matched`` array."""
+def occurrence_sum(matches: Column, text: Column, weights: list[Pattern] | None = None) -> Column:
+    """Per-occurrence score of a ``matched`` array, with its own weights or those of ``weights``."""
+    if weights is None:
+        weight = lambda p: p["weight"]
+    else:
+        table = F.from_json(F.lit(json.dumps({str(p.pid): p.weight for p in weights})), "map<string,bigint>")
+        weight = lambda p: F.element_at(table, p["pid"].cast("string"))
     return F.aggregate(
         matches,
         F.lit(0).cast("bigint"),
-        lambda acc, p: acc + p["weight"] * occurrences(text, p["pattern"], p["overlap"]),
+        lambda acc, p: acc + weight(p) * occurrences(text, p["pattern"], p["overlap"]),
     )

@@ -20,6 +20,7 @@ from needlework.functions.hits import occurrences
 GRAMS = (8, 6, 4, 3, 2, 1)
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 256 * 1024 * 1024
+ROW_BYTES = 128  # of a filed pattern, besides the pattern, its gram and its look-ahead
 SALTS = 16
 PIECE = 65_536
 
@@ -79,7 +80,7 @@ def anchored_hits(
     measured = (
         dictionary.where(F.col("pattern") != "")
         .groupBy(gram_size(F.col("pattern")).alias("k"))
-        .agg(F.count("*").alias("n"), F.sum(F.octet_length("pattern")).alias("bytes"))
+        .agg(F.count("*").alias("n"), F.sum(F.octet_length("pattern") * 3 + ROW_BYTES).alias("bytes"))
         .collect()  # one row per gram size
     )
     sizes = sorted(row["k"] for row in measured)
@@ -89,7 +90,7 @@ def anchored_hits(
     if small:
         candidates = exploded.join(F.broadcast(filed), "gram")
     else:
-        candidates = _shuffled_candidates(exploded, filed, keys).join(texts.select(*keys, text), keys)
+        candidates = _with_texts(_shuffled_candidates(exploded, filed, keys), texts, keys, text)
     # Coalesced so that no null check on the text is derived and evaluated beforehand.
     holds = F.coalesce(F.contains(F.col(text), F.col("pattern")), F.lit(False))
     confirmed = candidates.where(holds & _first_piece(text))
@@ -99,18 +100,18 @@ def anchored_hits(
 
 
 def _text_grams(texts: DataFrame, keys: list[str], text: str, sizes: list[int]) -> DataFrame:
-    """(keys, text, piece, is_long, gram): the distinct grams of each piece of a text.
+    """(keys, text, its digest, piece, is_long, gram): the distinct grams of each piece of a text.
 
     A text is cut into pieces, overlapping by one character less than the longest gram,
     so that the gram array of a very long text stays small.
     """
     ahead = PIECE + max(sizes, default=1) - 1
     cut = f"(?s)(?=(.{{1,{ahead}}})).{{1,{PIECE}}}"
-    sized = texts.select(*keys, text, (F.char_length(text) > PIECE).alias("is_long"))
+    sized = texts.select(*keys, text, F.md5(F.col(text)).alias("_text"), (F.char_length(text) > PIECE).alias("is_long"))
     pieces = F.when(F.col("is_long"), F.regexp_extract_all(F.col(text), F.lit(cut), F.lit(1))).otherwise(F.array(text))
-    cut_texts = sized.select(*keys, text, "is_long", F.posexplode(pieces).alias("piece", "part"))
-    per_size = F.array(*[grams(F.col("part"), k) for k in sizes]).cast("array<array<string>>")
-    return cut_texts.select(*keys, text, "piece", "is_long", F.explode(F.flatten(per_size)).alias("gram"))
+    cut_texts = sized.select(*keys, text, "_text", "is_long", F.posexplode(pieces).alias("piece", "_part"))
+    per_size = F.array(*[grams(F.col("_part"), k) for k in sizes]).cast("array<array<string>>")
+    return cut_texts.select(*keys, text, "_text", "piece", "is_long", F.explode(F.flatten(per_size)).alias("gram"))
 
 
 def _first_piece(text: str) -> Column:
@@ -125,6 +126,20 @@ def _first_piece(text: str) -> Column:
     return F.when(F.col("is_long"), F.floor(start / PIECE) == F.col("piece")).otherwise(True)
 
 
+def _with_texts(candidates: DataFrame, texts: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """Candidates beside their texts again, which a null or repeated key does not lose or multiply.
+
+    Rows equal in key and text bring the same candidates, which are taken once and meet
+    each of these rows.
+    """
+    ids = [*keys, "_text"]
+    names = [f"_candidate_{i}" for i in range(len(ids))]
+    once_each = candidates.distinct().withColumnsRenamed(dict(zip(ids, names, strict=True)))
+    rows = texts.select(*keys, text, F.md5(F.col(text)).alias("_text"))
+    same = [F.col(a).eqNullSafe(F.col(b)) for a, b in zip(ids, names, strict=True)]
+    return rows.join(once_each, same).drop("_text", *names)
+
+
 def _shuffled_candidates(exploded: DataFrame, filed: DataFrame, keys: list[str]) -> DataFrame:
     """Candidates without broadcasting the dictionary.
 
@@ -132,7 +147,7 @@ def _shuffled_candidates(exploded: DataFrame, filed: DataFrame, keys: list[str])
     share of all texts to one task, so grams are salted and each anchor is copied
     once per salt.
     """
-    salt = F.pmod(F.xxhash64(*keys), F.lit(SALTS)).cast("int")
-    left = exploded.select(*keys, "piece", "is_long", "gram", salt.alias("salt"))
+    salt = F.pmod(F.xxhash64(*keys, "_text"), F.lit(SALTS)).cast("int")
+    left = exploded.select(*keys, "_text", "piece", "is_long", "gram", salt.alias("salt"))
     right = filed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return left.join(right, ["gram", "salt"]).drop("salt")

@@ -15,14 +15,13 @@ from pyspark.sql.window import Window
 from needlework import fixed
 from needlework.functions.hits import matched, occurrence_sum, weight_sum
 from needlework.functions.risk import classify_risk, match_flag
-from needlework.operators.dictionary import first_ids
+from needlework.operators.dictionary import first_ids, merged_weights
 from needlework.operators.matching import (
     distinct_score,
     occurrence_score,
     once,
-    score_distinct,
-    score_occurrences,
     small_patterns,
+    with_scores,
 )
 
 MODES = ["distinct", "occurrences", "first_id"]
@@ -45,28 +44,57 @@ def score_log(
     score = distinct_score if mode == "distinct" else occurrence_score
     if patterns is not None:
         return assess(log.select("*", once(score=score(F.col("normalized"), patterns))), bounds)
-    scan = score_distinct if mode == "distinct" else score_occurrences
-    entries = first_ids(dictionary) if mode == "first_id" else dictionary
-    return assess(log.join(scan(log, entries, key), key), bounds)
+    entries = first_ids(dictionary) if mode == "first_id" else merged_weights(dictionary)
+    value = F.col("weight") if mode == "distinct" else F.col("weight") * F.col("hits")
+    return assess(with_scores(log, entries, {"score": value}, key), bounds)
 
 
-def score_log_all(log: DataFrame, dictionary: DataFrame, key: str = "qid") -> DataFrame:
+def score_log_all(
+    log: DataFrame,
+    dictionary: DataFrame,
+    key: str = "qid",
+    first_weights: DataFrame | None = None,
+    first_bounds: Sequence[int] = fixed.THRESHOLDS_V1,
+) -> DataFrame:
     """One row per query and way of counting (column ``algorithm``), from one scan.
 
-    The ways differ only in what they add up, so the matches are found once.
+    The ways differ only in what they add up, so the matches are found once.  The third
+    way may have weights of its own, a dictionary of the same ids and patterns, and
+    bounds of its own.
     """
-    patterns, first = small_patterns(dictionary), small_patterns(first_ids(dictionary))
-    if patterns is None or first is None:
-        runs = [score_log(log, dictionary, mode, key=key).withColumn("algorithm", F.lit(mode)) for mode in MODES]
-        return runs[0].unionByName(runs[1]).unionByName(runs[2])
+    third = dictionary if first_weights is None else first_weights
+    patterns, first = small_patterns(dictionary), small_patterns(first_ids(third))
     text, found = F.col("normalized"), F.col("found")
-    kept = F.filter(found, lambda p: p["pid"].isin([p.pid for p in first]))
-    scores = [weight_sum(found), occurrence_sum(found, text), occurrence_sum(kept, text)]
-    runs = F.array(
-        *[F.struct(F.lit(m).alias("algorithm"), s.alias("score")) for m, s in zip(MODES, scores, strict=True)]
+    if patterns is None or first is None:
+        scored = _all_scores(log, dictionary, third, key)
+    else:
+        kept = F.filter(found, lambda p: p["pid"].isin([p.pid for p in first]))
+        scores = [weight_sum(found), occurrence_sum(found, text), occurrence_sum(kept, text, first)]
+        matches = log.select("*", matched(text, patterns).alias("found"))
+        scored = matches.select(*log.columns, _runs(scores))
+    computed = F.when(F.col("algorithm") == "first_id", classify_risk(F.col("score"), first_bounds)).otherwise(
+        classify_risk(F.col("score"), fixed.THRESHOLDS_V1)
     )
-    matches = log.select("*", matched(text, patterns).alias("found"))
-    return assess(matches.select(*log.columns, F.inline(runs)))
+    return scored.withColumn("computed", computed).withColumn("flag", match_flag(F.col("computed"), F.col("expected")))
+
+
+def _runs(scores: list[Column]) -> Column:
+    """Rows (algorithm, score), one per way of counting."""
+    named = zip(MODES, scores, strict=True)
+    return F.inline(F.array(*[F.struct(F.lit(m).alias("algorithm"), s.alias("score")) for m, s in named]))
+
+
+def _all_scores(log: DataFrame, dictionary: DataFrame, third: DataFrame, key: str) -> DataFrame:
+    """All ways of counting for a large dictionary: hits are found once, with both weights."""
+    own = third.select(F.col("pid").alias("third_pid"), F.col("weight").alias("third"))
+    both = dictionary.join(own, F.col("pid") == F.col("third_pid"))
+    weight = F.struct(F.sum("weight").alias("all"), F.min_by("third", "pid").alias("first")).alias("weight")
+    entries = both.groupBy("pattern").agg(F.min("pid").alias("pid"), weight)
+    hits = F.col("hits")
+    values = [F.col("weight.all"), F.col("weight.all") * hits, F.col("weight.first") * hits]
+    names = [f"_{m}_score" for m in MODES]
+    sums = with_scores(log, entries, dict(zip(names, values, strict=True)), key)
+    return sums.select(*log.columns, _runs([F.col(n) for n in names]))
 
 
 def _accuracy(correct: str = "correct", total: str = "total") -> Column:
@@ -136,8 +164,7 @@ def pattern_frequency(hits: DataFrame) -> DataFrame:
 def algorithm_agreement(log: DataFrame, dictionary: DataFrame, key: str = "qid") -> DataFrame:
     """Queries whose distinct and per-occurrence scores or classes differ.
 
-    Both scores come from the same scan of the row; only a dictionary too large for
-    that needs two scans and a join on the key.
+    Both scores come from the same scan, whatever the size of the dictionary.
     """
     patterns = small_patterns(dictionary)
     if patterns is not None:
@@ -147,9 +174,9 @@ def algorithm_agreement(log: DataFrame, dictionary: DataFrame, key: str = "qid")
             key, once(distinct_score=weight_sum(found), occurrence_score=occurrence_sum(found, text))
         )
     else:
-        a = score_distinct(log, dictionary, key).withColumnRenamed("score", "distinct_score")
-        b = score_occurrences(log, dictionary, key).withColumnRenamed("score", "occurrence_score")
-        both = a.join(b, key, "full")
+        values = {"distinct_score": F.col("weight"), "occurrence_score": F.col("weight") * F.col("hits")}
+        scored = with_scores(log.select(key, "normalized"), merged_weights(dictionary), values, key)
+        both = scored.select(key, *values)
     classed = both.withColumn("distinct_risk", classify_risk(F.col("distinct_score"))).withColumn(
         "occurrence_risk", classify_risk(F.col("occurrence_score"))
     )

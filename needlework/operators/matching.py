@@ -7,7 +7,9 @@ Two physical forms with equal results:
 * larger dictionaries go through ``anchored_hits``, an equi-join on short substrings,
   whose cost per text does not grow with the number of patterns.
 
-Texts need a unique key (one column name or several) and a normalized text column.
+Texts need a key (one column name or several) and a normalized text column.  The key may
+be null and may repeat: the second form tells rows apart by key and text together, which is
+as far as their hits can differ.
 """
 
 from __future__ import annotations
@@ -28,6 +30,12 @@ from needlework.operators.anchored import anchored_hits
 from needlework.operators.dictionary import first_ids, merged_weights
 
 CHUNK = 4096
+#: Starts that are added up one by one; longer lists are added up block by block.
+BLOCK = 64
+#: Digest of a text, kept beside the caller's key.
+TEXT_ID = "_text_id"
+#: Equal rows that come out of one array.
+COPIES = 10_000
 
 Keys = str | list[str]
 
@@ -50,7 +58,7 @@ def score_distinct(texts: DataFrame, dictionary: DataFrame, key: Keys = "qid", t
     keys, patterns = _key_list(key), small_patterns(dictionary)
     if patterns is not None:
         return texts.select(*keys, once(score=distinct_score(F.col(text), patterns)))
-    return _summed(texts, anchored_hits(texts, merged_weights(dictionary), keys, text), keys, F.col("weight"))
+    return _per_row(_sums(texts, merged_weights(dictionary), keys, text, score=F.col("weight")), keys)
 
 
 def score_occurrences(
@@ -60,8 +68,8 @@ def score_occurrences(
     keys, patterns = _key_list(key), small_patterns(dictionary)
     if patterns is not None:
         return texts.select(*keys, once(score=occurrence_score(F.col(text), patterns)))
-    hits = anchored_hits(texts, merged_weights(dictionary), keys, text)
-    return _summed(texts, hits, keys, F.col("weight") * F.col("hits"))
+    sums = _sums(texts, merged_weights(dictionary), keys, text, score=F.col("weight") * F.col("hits"))
+    return _per_row(sums, keys)
 
 
 def score_occurrences_first_id(
@@ -88,15 +96,51 @@ def once(**columns: Column) -> Column:
     return F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
 
 
-def _summed(texts: DataFrame, hits: DataFrame, keys: list[str], value: Column) -> DataFrame:
-    """Sum per text, zero for texts without a hit.
+def _identified(texts: DataFrame, text: str) -> DataFrame:
+    return texts.withColumn(TEXT_ID, F.md5(F.col(text)))
+
+
+def _sums(texts: DataFrame, dictionary: DataFrame, keys: list[str], text: str, **values: Column) -> DataFrame:
+    """Keys, digest, number of equal rows and the sums of ``values`` over a row's hits.
 
     Zero rows are added before the sum, so keys meet their hits in one shuffle and
-    texts never leave the scan.
+    texts never leave the scan.  Equal rows all bring the same hits, so the sum of a group
+    is a multiple of each row's.
+    """
+    marked, ids = _identified(texts, text), [*keys, TEXT_ID]
+    hits = anchored_hits(marked, dictionary, ids, text)
+    rows = marked.select(*ids, F.lit(1).alias("_copies"), *[F.lit(0).cast("bigint").alias(n) for n in values])
+    found = hits.select(*ids, F.lit(0).alias("_copies"), *[v.cast("bigint").alias(n) for n, v in values.items()])
+    sums = rows.unionByName(found).groupBy(*ids).agg(*[F.sum(n).alias(n) for n in ("_copies", *values)])
+    return sums.select(*ids, "_copies", *[F.expr(f"`{n}` div _copies").alias(n) for n in values])
+
+
+def _per_row(sums: DataFrame, keys: list[str]) -> DataFrame:
+    """One row again for each of several equal ones."""
+    blocks = F.sequence(F.lit(0).cast("bigint"), F.col("_copies") - 1, F.lit(COPIES).cast("bigint"))
+    cut = sums.select(*keys, "score", "_copies", F.explode(blocks).alias("_first"))
+    times = F.least(F.col("_copies") - F.col("_first"), F.lit(COPIES)).cast("int")
+    return cut.select(*keys, F.explode(F.array_repeat("score", times)).alias("score"))
+
+
+def _brought_back(texts: DataFrame, found: DataFrame, ids: list[str], how: str) -> DataFrame:
+    """Joins results to the texts they belong to; a null key is a key like any other."""
+    names = [f"_found_{i}" for i in range(len(ids))]
+    renamed = found.withColumnsRenamed(dict(zip(ids, names, strict=True)))
+    same = [F.col(a).eqNullSafe(F.col(b)) for a, b in zip(ids, names, strict=True)]
+    return texts.join(renamed, same, how).drop(*names)
+
+
+def with_scores(
+    texts: DataFrame, dictionary: DataFrame, values: dict[str, Column], key: Keys = "qid", text: str = "normalized"
+) -> DataFrame:
+    """The texts (all columns) with the sums of ``values``, columns over weight and hits.
+
+    The form for dictionaries of any size; several values cost one scan.
     """
-    zeros = texts.select(*keys, F.lit(0).cast("bigint").alias("value"))
-    values = hits.select(*keys, value.cast("bigint").alias("value"))
-    return zeros.unionByName(values).groupBy(*keys).agg(F.sum("value").alias("score"))
+    keys = _key_list(key)
+    sums = _sums(texts, dictionary, keys, text, **values).drop("_copies")
+    return _brought_back(_identified(texts, text), sums, [*keys, TEXT_ID], "inner").drop(TEXT_ID)
 
 
 def pattern_hits(texts: DataFrame, dictionary: DataFrame, key: Keys = "qid", text: str = "normalized") -> DataFrame:
@@ -121,9 +165,10 @@ def matched_patterns(
     if patterns is not None:
         found = texts.select(*keys, matched(F.col(text), patterns).alias("found"))
     else:
-        hits = anchored_hits(texts, dictionary, keys, text)
-        lists = hits.groupBy(*keys).agg(F.collect_list(F.struct("pid", "pattern", "weight")).alias("found"))
-        found = texts.select(*keys).join(lists, keys, "left").withColumn("found", F.coalesce("found", F.array()))
+        marked, ids = _identified(texts, text), [*keys, TEXT_ID]
+        hits = anchored_hits(marked, dictionary, ids, text)
+        lists = hits.groupBy(*ids).agg(F.collect_set(F.struct("pid", "pattern", "weight")).alias("found"))
+        found = _brought_back(marked.select(*ids), lists, ids, "left").withColumn("found", F.coalesce("found", F.array()))
     return found.select(*keys, weight_sum(F.col("found")).alias("score"), pattern_list(F.col("found")).alias("matched"))
 
 
@@ -172,21 +217,32 @@ def _starts(chunk: str, pattern: str) -> Column:
     """0-based start offsets of all occurrences, overlapping ones included.
 
     The chunk is split in front of every occurrence; the offsets are the running sum
-    of the piece lengths.  The first piece counts only if an occurrence opens it.
+    of the piece lengths, taken block by block, because a list is copied whenever it
+    grows.  The first piece counts only if an occurrence opens it.
     """
     quoted = F.replace(F.col(pattern), F.lit("\\E"), F.lit("\\E\\\\E\\Q"))
     before = F.concat(F.lit("(?=\\Q"), quoted, F.lit("\\E)"))
     lengths = F.transform(F.split(F.col(chunk), before, -1), lambda piece: F.char_length(piece))
+    firsts = F.sequence(F.lit(1), F.size(lengths), F.lit(BLOCK))
+    blocks = F.transform(firsts, lambda first: _running_sum(F.slice(lengths, first, F.lit(BLOCK)), lambda size: size))
+    bases = _running_sum(blocks, lambda block: block["at"])["starts"]
+    offsets = F.flatten(
+        F.zip_with(blocks, bases, lambda block, base: F.transform(block["starts"], lambda at: at + base))
+    )
+    opens = F.startswith(F.col(chunk), F.col(pattern))
+    return F.filter(offsets, lambda at: (at > 0) | opens)
+
+
+def _running_sum(values: Column, size) -> Column:
+    """struct(at, starts): the sum of all sizes, and the sums before each of them."""
     empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
-    offsets = F.aggregate(
-        lengths,
+    return F.aggregate(
+        values,
         empty,
-        lambda acc, size: F.struct(
-            (acc["at"] + size).alias("at"), F.array_append(acc["starts"], acc["at"]).alias("starts")
+        lambda acc, value: F.struct(
+            (acc["at"] + size(value)).alias("at"), F.array_append(acc["starts"], acc["at"]).alias("starts")
         ),
-    )["starts"]
-    opens = F.startswith(F.col(chunk), F.col(pattern))
-    return F.filter(offsets, lambda at: (at > 0) | opens)
+    )
 
 
 def _flagged(texts: DataFrame, text: str, patterns: list[Pattern]) -> DataFrame:
@@ -198,8 +254,7 @@ def detect_any(texts: DataFrame, dictionary: DataFrame, key: Keys = "qid", text:
     patterns = small_patterns(dictionary)
     if patterns is not None:
         return _flagged(texts, text, patterns).where(F.col("_hit")).drop("_hit")
-    keys = _key_list(key)
-    return texts.join(anchored_hits(texts, dictionary, keys, text).select(*keys), keys, "left_semi")
+    return _by_hits(texts, dictionary, _key_list(key), text, "left_semi")
 
 
 def detect_none(texts: DataFrame, dictionary: DataFrame, key: Keys = "qid", text: str = "normalized") -> DataFrame:
@@ -207,8 +262,13 @@ def detect_none(texts: DataFrame, dictionary: DataFrame, key: Keys = "qid", text
     patterns = small_patterns(dictionary)
     if patterns is not None:
         return _flagged(texts, text, patterns).where(~F.col("_hit")).drop("_hit")
-    keys = _key_list(key)
-    return texts.join(anchored_hits(texts, dictionary, keys, text).select(*keys), keys, "left_anti")
+    return _by_hits(texts, dictionary, _key_list(key), text, "left_anti")
+
+
+def _by_hits(texts: DataFrame, dictionary: DataFrame, keys: list[str], text: str, how: str) -> DataFrame:
+    marked, ids = _identified(texts, text), [*keys, TEXT_ID]
+    hits = anchored_hits(marked, dictionary, ids, text).select(*ids)
+    return _brought_back(marked, hits, ids, how).drop(TEXT_ID)
 
 
 def implications(dictionary: DataFrame) -> DataFrame:

@@ -109,13 +109,16 @@ lines AS (SELECT qid, CASE WHEN qid % 97 = 0 THEN '' WHEN qid % 89 = 0 THEN fiel
 BLANKS = "' ' || chr(9) || chr(13) || chr(10)"
 
 RUNS = f"""{LOG_TEXTS}, {DICT}, {_HITS}, {DISTINCT_SCORES},
-first_dict AS (SELECT pattern, min(pid) AS pid FROM dict GROUP BY pattern),
+first_dict AS (SELECT min(pid) AS pid, CASE WHEN contains(pattern, 'drop table') OR contains(pattern, '; drop') THEN 100
+  WHEN contains(pattern, '; delete') OR contains(pattern, '; insert') THEN 15 ELSE 10 END AS short_weight
+  FROM dict GROUP BY pattern),
 {OCC}, {OCC_SCORES},
-first_scores AS (SELECT t.id, coalesce(sum(weight * n), 0)::BIGINT AS score FROM texts t
-  LEFT JOIN (SELECT * FROM counts WHERE pid IN (SELECT pid FROM first_dict)) c ON t.id = c.id GROUP BY t.id),
+first_scores AS (SELECT t.id, coalesce(sum(short_weight * n), 0)::BIGINT AS score FROM texts t
+  LEFT JOIN (SELECT id, n, short_weight FROM counts JOIN first_dict USING (pid)) c ON t.id = c.id GROUP BY t.id),
 all_scores AS (SELECT 'distinct' AS algorithm, * FROM scores UNION ALL SELECT 'occurrences', * FROM occ_scores
   UNION ALL SELECT 'first_id', * FROM first_scores),
-runs AS (SELECT algorithm, dataset, expected, score, {_risk("score")} AS computed
+runs AS (SELECT algorithm, dataset, expected, score, CASE WHEN algorithm = 'first_id'
+    THEN {_risk("score", fixed.THRESHOLDS_V2)} ELSE {_risk("score")} END AS computed
   FROM log JOIN all_scores ON qid = id)"""
 _CELLS = """count(*) AS total, count(*) FILTER (computed = expected) AS correct,
   100.0::DOUBLE * count(*) FILTER (computed = expected) / count(*) AS accuracy,
@@ -151,18 +154,17 @@ SAMPLED = f"""{TEMPLATES}, {_LEVELS},
 sampled AS (SELECT event_id, t.risk, template, low, high, adds, reps FROM events, levels v JOIN templates t
   ON t.risk = v.risk WHERE t.idx = event_id % v.n)"""
 ADJUSTED = f"""{SAMPLED}, {PLAIN_DICT},
-options AS (SELECT *, template || adds[event_id % len(adds) + 1] AS longer, reps[event_id % len(reps) + 1] AS simpler
-  FROM sampled),
-all_texts AS (SELECT DISTINCT unnest([template, longer, simpler]) AS t FROM options),
-text_scores AS (SELECT t, coalesce(sum(weight), 0)::BIGINT AS score FROM all_texts
-  LEFT JOIN dict ON contains({_fold("t")}, pattern) GROUP BY t),
-adjusted AS (SELECT event_id, risk,
-  CASE WHEN a.score < low AND b.score BETWEEN low AND high THEN longer
-       WHEN a.score > high AND c.score BETWEEN low AND high THEN simpler ELSE template END AS final_query,
-  CASE WHEN a.score < low AND b.score BETWEEN low AND high THEN b.score
-       WHEN a.score > high AND c.score BETWEEN low AND high THEN c.score ELSE a.score END AS score
-  FROM options JOIN text_scores a ON a.t = template JOIN text_scores b ON b.t = longer
-  JOIN text_scores c ON c.t = simpler)"""
+kinds AS (SELECT t.risk, idx, choice, low, high, [template, template || adds[choice + 1], reps[choice + 1]] AS forms
+  FROM templates t JOIN levels v ON t.risk = v.risk, unnest(range(len(adds))) AS c(choice)),
+forms AS (SELECT risk, idx, choice, low, high, form, forms[form] AS t FROM kinds, unnest([1, 2, 3]) AS f(form)),
+form_scores AS (SELECT risk, idx, choice, form, any_value(low) AS low, any_value(high) AS high, any_value(t) AS t,
+  coalesce(sum(weight), 0)::BIGINT AS score FROM forms LEFT JOIN dict ON contains({_fold("t")}, pattern) GROUP BY ALL),
+fitting AS (SELECT *, max(score) FILTER (form = 1) OVER (PARTITION BY risk, idx, choice) AS own FROM form_scores),
+outcomes AS (SELECT risk, idx, choice, arg_max(t, form) AS final_query, arg_max(score, form) AS score FROM fitting
+  WHERE form = 1 OR form = 2 AND own < low AND score BETWEEN low AND high
+    OR form = 3 AND own > high AND score BETWEEN low AND high GROUP BY risk, idx, choice),
+places AS (SELECT event_id, risk, event_id % n AS idx, event_id % len(adds) AS choice FROM events, levels),
+adjusted AS (SELECT event_id, risk, final_query, score FROM places JOIN outcomes USING (risk, idx, choice))"""
 
 _LABEL_LIST = "[" + ", ".join(map(_s, fixed.LABELS)) + "]"
 TIMINGS = f"""raw AS (SELECT event_id, user_id, floor(value * 1000)::BIGINT AS ms FROM events),
@@ -186,7 +188,7 @@ nearest AS (SELECT algorithm, s, any_value(g.dataset_size) AS dataset_size,
   arg_min(time_us, (abs(t.dataset_size - g.dataset_size), nr)) AS base_us
   FROM timings t, grid g GROUP BY algorithm, s)"""
 
-_AMOUNT = "CASE WHEN x >= 100 THEN round(x, 3) WHEN x >= 10 THEN round(x, 4) WHEN x >= 1 THEN round(x, 5) ELSE round(x, 6) END"
+_AMOUNT = "CASE WHEN x > 0 THEN round(x, 5 - floor(log10(x))::INTEGER) ELSE x END"
 
 ORACLE: dict[str, str] = {
     "scan_query_log": _with(

@@ -21,10 +21,18 @@ FILE_NAME = r"result_([^_/]+)_[^/]*_(Low|Medium|High|Critical)_(\d+)\.txt$"
 
 
 def six_digits(x: Column) -> Column:
-    """A number with six significant digits and no trailing zeros (``68``, ``85.7143``)."""
-    digits = F.when(x >= 100, F.round(x, 3)).when(x >= 10, F.round(x, 4)).when(x >= 1, F.round(x, 5))
-    text = F.format_string("%.6f", digits.otherwise(F.round(x, 6)))
-    return F.regexp_replace(F.regexp_replace(text, r"0+$", ""), r"\.$", "")
+    """A number, not negative, with six significant digits and no trailing zeros.
+
+    ``68``, ``85.7143``, ``0.000123457``; ``1.23457e-05`` below a ten-thousandth and
+    ``1.23457e+06`` from a million on.
+    """
+    scientific = F.format_string("%.5e", x)
+    exponent = F.regexp_extract(scientific, r"e([+-]\d+)$", 1)
+    plain = scientific.cast("decimal(38,18)").cast("string")
+    short = F.regexp_replace(F.regexp_extract(scientific, r"^([\d.]+)e", 1), r"\.?0+$", "")
+    power = exponent.cast("int")
+    fixed_point = F.regexp_replace(plain, r"\.?0+$", "")
+    return F.when(x == 0, "0").when((power < -4) | (power > 5), F.concat(short, F.lit("e"), exponent)).otherwise(fixed_point)
 
 
 def first_rows(log: DataFrame, dims: list[str], key: str = "qid") -> DataFrame:

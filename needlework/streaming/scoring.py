@@ -14,9 +14,22 @@ from needlework.operators.evaluate import assess
 from needlework.operators.matching import distinct_score, once
 
 
-def read_stream(spark: SparkSession, folder: str, schema, name: str = "*.parquet") -> DataFrame:
-    """Parquet files arriving in a folder."""
-    return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
+def read_stream(
+    spark: SparkSession,
+    folder: str,
+    schema,
+    name: str = "*.parquet",
+    files_per_batch: int = 1000,
+    partitions: int | None = None,
+) -> DataFrame:
+    """Parquet files arriving in a folder, at most ``files_per_batch`` in a micro-batch.
+
+    With ``partitions`` the rows are dealt out before the scan, for feeds of few files
+    with many rows each.
+    """
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", name)
+    rows = reader.option("maxFilesPerTrigger", files_per_batch).parquet(folder)
+    return rows.repartition(partitions) if partitions else rows
 
 
 def stream_score(
@@ -35,7 +48,8 @@ def stream_risk_windows(
 ) -> DataFrame:
     """Queries per time window and computed class; later rows than ``delay`` drop out.
 
-    State holds one counter per open window and class.
+    State holds one counter per open window and class.  ``late_rows`` tells how many
+    rows came too late.
     """
     counted = assessed.withWatermark(time, delay).groupBy(F.window(time, window), "computed")
     return counted.agg(F.count("*").alias("n")).select(
@@ -73,6 +87,12 @@ def run_updates_to_files(counts: DataFrame, path: str, checkpoint: str) -> Strea
     )
 
 
+def late_rows(query: StreamingQuery) -> int:
+    """Groups of rows that the recent micro-batches dropped because they came too late."""
+    states = [state for progress in query.recentProgress for state in progress["stateOperators"]]
+    return sum(state["numRowsDroppedByWatermark"] for state in states)
+
+
 def latest_counts(spark: SparkSession, path: str) -> DataFrame:
     """The last value of every counter written by ``run_updates_to_files``."""
     return (

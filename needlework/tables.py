@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
-import tempfile
 import uuid
 from collections.abc import Iterable
 
@@ -18,25 +16,29 @@ def literal_table(spark: SparkSession, rows: Iterable[dict], fields: str) -> Dat
     return spark.range(0, 1, 1, 1).select(F.inline(values))
 
 
+#: Splits from which an input is never shuffled just to use more cores (8 GB at 128 MB each).
+SPREAD_SPLITS = 64
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores on an input too small to be split by the scan itself.
 
-    A table read from fewer splits than there are cores (one small file, one row
-    group) is shuffled round robin, which costs little at that size.  Large inputs,
-    which have many splits, are returned as they are and never shuffled here.
+    A table of few splits, fewer than there are cores (one small file, one row group), is
+    shuffled round robin, which costs little at that size.  Inputs of ``SPREAD_SPLITS`` or
+    more are returned as they are, however many cores there are.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    if df.rdd.getNumPartitions() >= min(cores, SPREAD_SPLITS):
         return df
-    return df.repartition(cores)
+    return df.repartition(min(cores, SPREAD_SPLITS))
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared folder of ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, local runs) a temporary folder is used.
+    Where the session names none it lies under the warehouse, which all executors share too.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if shared:
-        return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    return os.path.join(tempfile.mkdtemp(prefix="needlework-"), name)
+    if not shared:
+        shared = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"

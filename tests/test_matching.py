@@ -1,3 +1,4 @@
+import functools
 import random
 
 import pytest
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from helpers import brute_distinct, brute_occurrences, dictionary, occurrences, texts
 from needlework.functions import hits
-from needlework.operators import matching
+from needlework.operators import evaluate, matching
 from needlework.operators.anchored import anchored_hits
 
 ENTRIES = [
@@ -170,3 +171,45 @@ def test_many_ids_of_one_text(spark, form):
     t, d = texts(spark, ["abab x3", "x6"]), dictionary(spark, entries)
     assert _scores(matching.score_distinct(t, d)) == {0: 21, 1: 1}
     assert _scores(matching.score_occurrences(t, d)) == {0: 41, 1: 1}
+
+
+@pytest.mark.parametrize("kind", ["constant", "broadcast", "shuffled"])
+def test_null_and_repeated_keys_give_the_same_rows_in_every_form(spark, monkeypatch, kind):
+    rows = [(None, 1, "a union select --"), (None, 1, "nothing"), (1, None, "-- --"), (1, None, "-- --"), (1, 2, ""), (2, 2, None)]
+    logged = [(*row, "low") for row in rows]
+    t = spark.createDataFrame(logged, "qid bigint, part int, normalized string, expected string").repartition(3)
+    d = dictionary(spark, ENTRIES)
+    if kind != "constant":
+        for module in (matching, evaluate):
+            monkeypatch.setattr(module, "small_patterns", lambda *a, **k: None)
+    if kind == "shuffled":
+        monkeypatch.setattr(matching, "anchored_hits", functools.partial(anchored_hits, broadcast_rows=0))
+
+    def held(df, *columns):
+        return sorted((tuple(r) for r in df.select(*columns).collect()), key=repr)
+
+    keys, distinct = ["qid", "part"], [brute_distinct(x or "", ENTRIES) for _, _, x in rows]
+    counted = [brute_occurrences(x or "", ENTRIES) for _, _, x in rows]
+    want = sorted(((a, b, s) for (a, b, _), s in zip(rows, distinct, strict=True)), key=repr)
+    assert held(matching.score_distinct(t, d, keys), *keys, "score") == want
+    hit = [row for row, s in zip(rows, distinct, strict=True) if s]
+    none = [row for row, s in zip(rows, distinct, strict=True) if not s]
+    assert held(matching.detect_any(t, d, keys), *keys, "normalized") == sorted(hit, key=repr)
+    assert held(matching.detect_none(t, d, keys), *keys, "normalized") == sorted(none, key=repr)
+    lists = [(a, b, ", ".join(f"{p}({w})" for _, p, w in ENTRIES if p in (x or ""))) for a, b, x in rows]
+    assert held(matching.matched_patterns(t, d, keys), *keys, "matched") == sorted(lists, key=repr)
+    hits = [(a, b, pid, len(occurrences(x, p))) for a, b, x in rows if x for pid, p, _ in ENTRIES if p in x]
+    assert held(matching.pattern_hits(t, d, keys), *keys, "pid", "hits") == sorted(hits, key=repr)
+    scored = [(a, x, s) for (a, _, x), s in zip(rows, counted, strict=True)]
+    assert held(evaluate.score_log(t, d, "occurrences"), "qid", "normalized", "score") == sorted(scored, key=repr)
+    ways = evaluate.score_log_all(t, d).where("algorithm = 'distinct'")
+    assert held(ways, "qid", "normalized", "score") == sorted(
+        ((a, x, s) for (a, _, x), s in zip(rows, distinct, strict=True)), key=repr
+    )
+
+
+def test_positions_in_repetitive_texts(spark, form):
+    got = matching.match_positions(texts(spark, ["-" * 4096] * 3), dictionary(spark, [(0, "--", 1), (1, "-", 1)]))
+    assert {(r.qid, r.pid): r.n for r in got.groupBy("qid", "pid").agg(F.count("*").alias("n")).collect()} == {
+        (i, pid): 4095 + pid for i in range(3) for pid in (0, 1)
+    }

@@ -140,8 +140,8 @@ def test_older_reports(spark, tmp_path):
 
 
 def test_six_digits(spark):
-    values = [100.0, 68.0, 85.71428571, 8.571428571, 0.0, 33.33333333, 0.5]
-    want = ["100", "68", "85.7143", "8.57143", "0", "33.3333", "0.5"]
+    values = [100.0, 68.0, 85.71428571, 8.571428571, 0.0, 33.33333333, 0.5, 0.000123456789, 1.23456789e-05, 1234567.8]
+    want = ["100", "68", "85.7143", "8.57143", "0", "33.3333", "0.5", "0.000123457", "1.23457e-05", "1.23457e+06"]
     rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
     got = rows.select("i", reports.six_digits(F.col("v")).alias("t")).orderBy("i").collect()
     assert [r.t for r in got] == want

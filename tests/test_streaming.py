@@ -47,7 +47,9 @@ def test_windows_and_late_rows(spark, tmp_path):
         _write(spark, src, name, rows)
         scored, _, checkpoint = _run(spark, src, out)
         counts = scoring.stream_risk_windows(scored)
-        scoring.run_updates_to_files(counts, f"{out}/counts", checkpoint).awaitTermination()
+        query = scoring.run_updates_to_files(counts, f"{out}/counts", checkpoint)
+        query.awaitTermination()
+    assert scoring.late_rows(query) == 1
     latest = scoring.latest_counts(spark, f"{out}/counts")
     got = {(r.window_start.day, r.computed): r.n for r in latest.collect()}
     assert got == {(1, "low"): 1, (1, "high"): 1, (2, "low"): 2}
@@ -60,3 +62,23 @@ def test_label_events_works_on_a_stream(spark, tmp_path):
     rows = stream.select("qid", "normalized", "expected")
     scoring.run_to_files(rows, str(tmp_path / "o"), str(tmp_path / "c")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "o")).count() == 10
+
+
+def test_many_batches_equal_one(spark, tmp_path):
+    start = datetime(2024, 1, 1)
+    for n in range(4):
+        rows = [(i, start + timedelta(hours=i), "drop table" if i % 2 else "x", "low") for i in range(10 * n, 10 * n + 10)]
+        _write(spark, tmp_path / "in", f"f{n}", rows)
+    patterns = matching.small_patterns(dicts.standard_dictionary(spark))
+    found = {}
+    for files in (1, 1000):
+        out = tmp_path / f"out{files}"
+        schema = spark.createDataFrame([], SCHEMA).schema
+        log = scoring.read_stream(spark, f"{tmp_path}/in/*", schema, files_per_batch=files, partitions=2)
+        counts = scoring.stream_risk_windows(scoring.stream_score(log, patterns))
+        query = scoring.run_updates_to_files(counts, f"{out}/counts", f"{out}/checkpoint")
+        query.awaitTermination()
+        assert scoring.late_rows(query) == 0
+        latest = scoring.latest_counts(spark, f"{out}/counts")
+        found[files] = {(r.window_start, r.computed): r.n for r in latest.collect()}
+    assert found[1] == found[1000] and sum(found[1].values()) == 40
