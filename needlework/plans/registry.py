@@ -111,6 +111,22 @@ def write_dataset(spark, sf_dir):
     return back.groupBy("query", "expected").agg(F.count("*").alias("n"))
 
 
+@query
+def scan_numbered_log(spark, sf_dir):
+    """Data sets written per event type and read back with line numbers, which run from 1 in every file."""
+    path = work_dir(spark, "numbered")
+    events = inputs.table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("dataset"))
+    sinks.write_dataset(corpus.generate_dataset(events, "event_id"), path, ["dataset"])
+    log = query_log.read_numbered_log(spark, path)
+    per_file = log.groupBy("file").agg(
+        F.count("*").alias("queries"), F.min("qid").alias("first"), F.max("qid").alias("last"), F.sum("qid").alias("numbers")
+    )
+    unbroken = (F.col("first") == 1) & (F.col("numbers") * 2 == F.col("last") * (F.col("last") + 1))
+    return per_file.groupBy(F.regexp_extract("file", "dataset=([^/]+)", 1).alias("dataset")).agg(
+        F.sum("queries").alias("queries"), F.sum("last").alias("last_numbers"), F.bool_and(unbroken).alias("unbroken")
+    )
+
+
 @query
 def write_patterns(spark, sf_dir):
     path = work_dir(spark, "patterns")

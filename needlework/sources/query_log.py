@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from needlework.functions.risk import is_label
 from needlework.functions.text import normalize_query, strip_outer_quotes, toggle_fields, trim_field
+from needlework.tables import work_dir
 
 # No such separator occurs in a log, so a whole line lands in one column.
 _NO_SEPARATOR = "\u0001\u0002\u0001"
@@ -87,11 +88,27 @@ def read_named_logs(spark: SparkSession, path: str) -> DataFrame:
 def read_numbered_log(spark: SparkSession, path: str) -> DataFrame:
     """As ``read_query_log``, plus file and qid, the line number in the file.
 
-    Every file is one row first, so this is for files that fit into memory, where the
-    order of the lines matters.  The first line is dropped even if it is blank.
+    Files stay splittable.  Lines are written once to the work folder with their block
+    and a rising number, so that both passes below see the same splits whatever happens
+    to the cluster in between.  A line's number is its place in the block plus the lines
+    of the blocks before it; only line counts, one row a block, are shuffled and sorted.
+    The first line is dropped even if it is blank.
     """
-    files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
-    numbered = files.select("file", F.posexplode(F.split("value", "\n", -1)).alias("qid", "value"))
+    lines = spark.read.option("lineSep", "\n").text(path)
+    placed = lines.select(
+        "value",
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"),
+    )
+    folder = work_dir(spark, "lines")
+    placed.write.parquet(folder)
+    kept = spark.read.parquet(folder)
+    blocks = kept.groupBy("file", "block").agg(F.count("*").alias("lines"), F.min("row").alias("first_row"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.withColumn("start", F.coalesce(F.sum("lines").over(earlier), F.lit(0)))
+    qid = F.col("start") + F.col("row") - F.col("first_row")
+    numbered = kept.join(starts, ["file", "block"]).select("file", qid.alias("qid"), "value")
     return parse_log(numbered.where(F.col("qid") > 0))
 
 

@@ -35,6 +35,21 @@ def test_numbered_lines_keep_file_order(spark, tmp_path):
     assert [r.query for r in shown] == ["x", *[f"q{i}" for i in range(9)]]
 
 
+def test_numbers_run_through_the_blocks_of_split_files(spark, tmp_path):
+    for name, n in (("a", 3000), ("b", 1), ("c", 0)):
+        rows = "".join(f"q{i}\r{i},low\n" if i % 7 else "\n" for i in range(1, n + 1))
+        (tmp_path / f"{name}.csv").write_bytes(("query,risk\n" + rows).encode())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        rows = query_log.read_numbered_log(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    found = sorted((r.file[-5:], r.qid, r.query) for r in rows)
+    expected = [("a.csv", i, f"q{i}\r{i}") for i in range(1, 3001) if i % 7] + [("b.csv", 1, "q1\r1")]
+    assert found == expected
+
+
 def test_split_files_lose_one_line_only(spark, tmp_path):
     (tmp_path / "big.csv").write_text("query,risk\n" + "".join(f"q{i},low\n" for i in range(20_000)))
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
