@@ -4,7 +4,8 @@ A candidate is a run of characters that keys are made of.  Inside it a window of
 length slides over the characters of one class (hex digits, or letters and digits of
 base 64); the counts in the window change by one character in and one out, and with them
 the sum of ``c * log2(c)``, so every position costs constant time.  Windows whose Shannon
-entropy reaches the class's bound are joined to spans, unless an allow-list explains them.
+entropy reaches the class's bound are joined to spans.  What an allow-list explains is taken
+out of the run first, and the windows slide over the rest of it.
 """
 
 from __future__ import annotations
@@ -45,15 +46,39 @@ CLASSES = (
     CharClass("entropy_hex", re.compile(r"[0-9a-f]{20,}|[0-9A-F]{20,}"), 20, 3.0),
     CharClass("entropy_base64", re.compile(r"[A-Za-z0-9+/_=-]{24,}"), 24, 4.1),
 )
-#: Strings that look random but are none: identifiers, digests named as such, alphabets.
+#: Parts of a run that look random but are none: identifiers, digests named as such, alphabets.
 ALLOWED = (
     re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"),
     re.compile(r"(?i:0123456789|abcdefghij|klmnopqrst|qwertyuiop|example|placeholder|changeme)"),
-    re.compile(r"^sha(?:1|256|512)[-=_]"),
+    re.compile(r"^sha(?:1[-=_][0-9a-fA-F]{40}|256[-=_][0-9a-fA-F]{64}|512[-=_][0-9a-fA-F]{128})(?![A-Za-z0-9])"),
+    re.compile(
+        r"^sha(?:1[-=_][A-Za-z0-9+/_-]{27}=?|256[-=_][A-Za-z0-9+/_-]{43}=?|512[-=_][A-Za-z0-9+/_-]{86}(?:==)?)(?![A-Za-z0-9+/_=-])"
+    ),
     re.compile(r"^[A-Za-z]+(?:[-_/][A-Za-z]+)+$"),
 )
 
 
+def unexplained(run: str) -> list[tuple[int, int]]:
+    """(start, end) of the parts of a run that no allow-list entry covers."""
+    parts, at = [], 0
+    for a, b in sorted(m.span() for each in ALLOWED for m in each.finditer(run)):
+        if a > at:
+            parts.append((at, a))
+        at = max(at, b)
+    return parts + [(at, len(run))] * (at < len(run))
+
+
+def placed(parts: list[tuple[int, int]], start: int, end: int) -> list[tuple[int, int]]:
+    """A span of the joined parts, as spans of the run they come from."""
+    found, at = [], 0
+    for a, b in parts:
+        low, high = max(start, at), min(end, at + b - a)
+        if low < high:
+            found.append((a + low - at, a + high - at))
+        at += b - a
+    return found
+
+
 def entropy_spans(text: str, window: int, least: float) -> list[tuple[int, int]]:
     """Joined windows of ``text`` with at least ``least`` bits per character."""
     counts: dict[str, int] = {}
@@ -91,16 +116,18 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
 
 
 def random_spans(text: str) -> list[tuple[int, str, int]]:
-    """(start, kind, end) of windows of high entropy that no allow-list entry covers."""
+    """(start, kind, end) of windows of high entropy in what the allow-list leaves of each run."""
     found = []
     for m in CANDIDATE.finditer(text):
-        whole = m.group()
-        if not any(c.isdigit() for c in whole) or any(a.search(whole) for a in ALLOWED):
+        if not any(c.isdigit() for c in m.group()):
             continue
+        parts = unexplained(m.group())
+        rest = "".join(m.group()[a:b] for a, b in parts)
         for each in CLASSES:
-            for part in each.characters.finditer(whole):
-                base = m.start() + part.start()
-                found += [(base + a, each.kind, base + b) for a, b in entropy_spans(part.group(), each.window, each.bits)]
+            for part in each.characters.finditer(rest):
+                for a, b in entropy_spans(part.group(), each.window, each.bits):
+                    spans = placed(parts, part.start() + a, part.start() + b)
+                    found += [(m.start() + low, each.kind, m.start() + high) for low, high in spans]
     return sorted(found)
 
 

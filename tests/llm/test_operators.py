@@ -225,6 +225,24 @@ def test_entropy_finds_keys_and_spares_names(spark):
     assert rows == {0: "see [secret] here", 1: None, 2: "clean text", 3: "[secret] and [secret]"}
 
 
+def test_allowed_parts_do_not_hide_the_keys_beside_them():
+    key, uuid = "Zx9Kq2Lm7Rt4Vb8Nw3Yc6Hd1Pf5G", "123e4567-e89b-12d3-a456-426614174000"
+    named = "sha256-" + hashlib.sha256(b"").hexdigest()
+    rnd = random.Random(5)
+    bulk = "".join(rnd.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=5000))
+    split = f"{key[:14]}example{key[14:]}"
+    for text in (f"example_key={key}", f"api/v1/{uuid}/{key}", f"{key}_0123456789", f"klmnopqrst-{key}", f"{named}/{key}"):
+        assert key not in secrets.redacted(text, "*"), text
+    left = secrets.redacted(f"{bulk}example{bulk}", "*")
+    assert "example" in left and len(left) < 1000
+    assert secrets.redacted(split, "*") == "*example*"
+    for allowed in (uuid, named):
+        assert {kind for _, kind, _ in secrets.random_spans(f"{allowed}/{key}")} == {"entropy_base64"}
+        assert min(start for start, _, _ in secrets.random_spans(f"{allowed}/{key}")) >= len(allowed)
+    for plain in (f"api/v1/{uuid}", f"{uuid}/{uuid}", named, "0123456789abcdefghijklmnopqrst-example1"):
+        assert not secrets.random_spans(plain)
+
+
 def test_secrets_stand_awkward_and_empty_tables(awkward, nothing):
     rows = secrets.find_secrets(awkward).collect()
     assert len(rows) == awkward.count()
