@@ -237,12 +237,28 @@ def test_allowed_parts_do_not_hide_the_keys_beside_them():
     assert "example" in left and len(left) < 1000
     assert secrets.redacted(split, "*") == "*example*"
     for allowed in (uuid, named):
-        assert {kind for _, kind, _ in secrets.random_spans(f"{allowed}/{key}")} == {"entropy_base64"}
+        assert "entropy_hex" not in {kind for _, kind, _ in secrets.random_spans(f"{allowed}/{key}")}
         assert min(start for start, _, _ in secrets.random_spans(f"{allowed}/{key}")) >= len(allowed)
     for plain in (f"api/v1/{uuid}", f"{uuid}/{uuid}", named, "0123456789abcdefghijklmnopqrst-example1"):
         assert not secrets.random_spans(plain)
 
 
+def test_random_keys_of_every_alphabet_are_found():
+    rnd = random.Random(11)
+    lower, upper = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    for letters in (lower + "0123456789", upper + "234567", upper + "0123456789", lower + upper + "0123456789+/"):
+        for size, least in ((20, 0.93), (24, 0.96), (32, 0.98)):
+            keys = ["".join(rnd.choices(letters, k=size)) for _ in range(500)]
+            assert sum(bool(secrets.random_spans(f"see {k} here")) for k in keys) >= least * 500, (letters, size)
+    assert secrets.random_spans("see hQzKdWbXmRtYpLcVnGsJfKaE here")  # no digit
+
+
+def test_names_and_prose_are_no_keys():
+    plain = "getUserNameFromTable AbstractSingletonProxyFactoryBean internationalization2 The-Quick-Brown-Fox-Jumps-Over"
+    plain += " /usr/local/lib/python3/site-packages CHAPTER_TWENTY_SEVEN_PART_2 " + PROSE
+    assert not secrets.random_spans(plain)
+
+
 def test_secrets_stand_awkward_and_empty_tables(awkward, nothing):
     rows = secrets.find_secrets(awkward).collect()
     assert len(rows) == awkward.count()
