@@ -140,13 +140,13 @@ def log_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return query_log(spark, sf_dir).select(F.col("qid").alias("pid"), text.alias("pattern"))
 
 
-def word_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(pid, pattern, weight): the distinct words of 8 letters or more in the messages.
+def word_dictionary(spark: SparkSession, sf_dir: str, least: int = 8) -> DataFrame:
+    """(pid, pattern, weight): the distinct words of ``least`` letters or more in the messages.
 
     Thousands of patterns even on small tables.  The pid is taken from the hash of the
     word, so no global numbering is needed.
     """
-    words = F.explode(F.regexp_extract_all(normalize_query(F.col("text")), F.lit("[a-z]{8,}"), F.lit(0)))
+    words = F.explode(F.regexp_extract_all(normalize_query(F.col("text")), F.lit(f"[a-z]{{{least},}}"), F.lit(0)))
     distinct = _talks(spark, sf_dir).select(words.alias("pattern")).distinct()
     return distinct.select(
         F.conv(F.substring(F.md5("pattern"), F.lit(1), F.lit(15)), 16, 10).cast("bigint").alias("pid"),

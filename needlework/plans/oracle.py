@@ -400,6 +400,15 @@ WHERE EXISTS (SELECT 1 FROM dict WHERE contains({_fold("html")}, pattern))""",
     "score_large_dictionary": _with(
         TEXTS,
         f"""words AS (SELECT DISTINCT unnest(regexp_extract_all({_fold("text")}, '[a-z]{{8,}}')) AS pattern
+  FROM conversations)""",
+        "dict AS (SELECT 0 AS pid, pattern, length(pattern) % 5 + 1 AS weight FROM words)",
+        _HITS,
+        DISTINCT_SCORES,
+        select="SELECT id AS doc_id, score FROM scores",
+    ),
+    "score_all_words": _with(
+        TEXTS,
+        f"""words AS (SELECT DISTINCT unnest(regexp_extract_all({_fold("text")}, '[a-z]+')) AS pattern
   FROM conversations)""",
         "dict AS (SELECT 0 AS pid, pattern, length(pattern) % 5 + 1 AS weight FROM words)",
         _HITS,

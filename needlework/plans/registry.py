@@ -318,6 +318,12 @@ def score_large_dictionary(spark, sf_dir):
     return matching.score_distinct(inputs.planted(spark, sf_dir), words, "doc_id")
 
 
+@query
+def score_all_words(spark, sf_dir):
+    words = inputs.word_dictionary(spark, sf_dir, least=1)
+    return matching.score_distinct(inputs.planted(spark, sf_dir), words, "doc_id")
+
+
 # --- evaluation ----------------------------------------------------------------------
 
 
