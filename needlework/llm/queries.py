@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from needlework.llm import language, lz, mixing, packing, quality_model, repetition, scoring, secrets, simhash, url_filter
+from needlework.llm import language, lz, mixing, packing, quality_model, repetition, scoring, secrets, simhash, spelling, url_filter
 from needlework.llm.url_filter import Rule
 
 TOKENIZER = "word_bpe_49k.json"
@@ -70,6 +70,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_language_id": op2_language_id,
@@ -81,5 +85,6 @@ QUERIES = {
     "op8_lz_fingerprint": op8_lz_fingerprint,
     "op9_packing": op9_packing,
     "op10_mixing": op10_mixing,
+    "op12_spelling": op12_spelling,
 }
 ORACLE: dict[str, str] = {}
