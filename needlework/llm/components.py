@@ -5,20 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from needlework.llm.hot import lookup
 from needlework.llm.store import stored
 
 
-def large_star(edges: DataFrame) -> DataFrame:
+def large_star(edges: DataFrame, n: int) -> DataFrame:
     """Links every larger neighbour of a node to the smallest node around it."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("a", "m"))
+    found = lookup(both.where("b > a"), least, ["a"], "n", 2 * n)
+    return found.select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
-def small_star(edges: DataFrame) -> DataFrame:
+def small_star(edges: DataFrame, n: int) -> DataFrame:
     """Links a node and its smaller neighbours to the smallest of them."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    moved = edges.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    moved = lookup(edges, least, ["a"], "n", n).where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
@@ -26,7 +28,8 @@ def stars(links: DataFrame) -> DataFrame:
     """Links (a, b) -> (a, b) with a > b, where b is the smallest node of a's component.
 
     Both steps keep the components, only ever shrink the targets and use aggregations and
-    joins, so a node with very many neighbours is never gathered in one place.
+    lookups of a node's smallest neighbour, so a node with very many neighbours is never
+    gathered in one place.
     """
     ordered = links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     edges, before = stored(ordered.distinct()), None
@@ -35,7 +38,8 @@ def stars(links: DataFrame) -> DataFrame:
         if state == before or not state[0]:
             return edges
         before = state
-        edges = stored(small_star(large_star(edges)))
+        larger = stored(large_star(edges, state[0]))
+        edges = stored(small_star(larger, larger.count()))
 
 
 def components(links: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -46,5 +50,5 @@ def components(links: DataFrame, nodes: DataFrame) -> DataFrame:
     """
     roots = stars(links).select(F.col("a").alias("node"), F.col("b").alias("root"))
     placed = stored(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    labels = placed.groupBy("root").agg(F.min("doc_id").alias("label"))
-    return placed.select("node", "root").join(labels, "root").select("node", "root", "label")
+    labels = placed.groupBy("root").agg(F.min("doc_id").alias("label"), F.count("*").alias("n"))
+    return lookup(placed.select("node", "root"), labels, ["root"], "n", placed.count()).select("node", "root", "label")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from needlework.llm import language, lz, mixing, packing, quality_model, repetition, scoring, secrets, simhash, spelling, url_filter
+from needlework.llm import language, lz, mixing, ngram_join, packing, quality_model, repetition, scoring, secrets, simhash, spelling, url_filter
 from needlework.llm.url_filter import Rule
 
 TOKENIZER = "word_bpe_49k.json"
@@ -74,6 +74,10 @@ def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
 
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_classes(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_language_id": op2_language_id,
@@ -86,5 +90,6 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_mixing": op10_mixing,
     "op12_spelling": op12_spelling,
+    "op13_ngram_join": op13_ngram_join,
 }
 ORACLE: dict[str, str] = {}
