@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from needlework.llm import language, lz, mixing, ngram_join, packing, quality_model, repetition, scoring, secrets, simhash, spelling, url_filter
+from needlework.llm import language, lz, mixing, ngram_join, packing, prefix_trie, quality_model, repetition, scoring, secrets, simhash, spelling, url_filter
 from needlework.llm.url_filter import Rule
 
 TOKENIZER = "word_bpe_49k.json"
@@ -70,6 +70,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
@@ -89,6 +93,7 @@ QUERIES = {
     "op8_lz_fingerprint": op8_lz_fingerprint,
     "op9_packing": op9_packing,
     "op10_mixing": op10_mixing,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_spelling": op12_spelling,
     "op13_ngram_join": op13_ngram_join,
 }
