@@ -38,5 +38,16 @@ def raw_texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return [t or b"" for t in batch.column(batch.schema.get_field_index(column)).cast(pa.large_binary()).to_pylist()]
 
 
+def lower_texts(values: pa.Array) -> pa.Array:
+    """Whole texts with A-Z lower-cased; null counts as empty.
+
+    Taken row by row first, as the Arrow function misreads the offsets of a slice.
+    """
+    import pyarrow.compute as pc
+
+    rows = pc.fill_null(values.cast(pa.large_string()), "").take(pa.array(np.arange(len(values))))
+    return pc.ascii_lower(rows)
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))

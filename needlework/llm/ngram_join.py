@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from needlework.llm.arrow import column, small_batches
+from needlework.llm.arrow import column, lower_texts, small_batches
 from needlework.llm.components import components
 from needlework.llm.hot import lookup
 from needlework.llm.store import stored
@@ -69,8 +69,7 @@ def grams_of(values: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     Words are cut at ASCII white space, A-Z are lower-cased.  A text of fewer words has
     all of them as its only n-gram, one without words or a null none.
     """
-    lowered = pc.ascii_lower(pc.fill_null(values.cast(pa.large_string()), ""))
-    split = pc.ascii_split_whitespace(lowered)
+    split = pc.ascii_split_whitespace(lower_texts(values))
     flat, owner = split.flatten(), pc.list_parent_indices(split).to_numpy()
     real = pc.not_equal(pc.binary_length(flat), 0)
     flat, owner = flat.filter(real), owner[real.to_numpy(zero_copy_only=False)]
