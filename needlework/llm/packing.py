@@ -8,20 +8,17 @@ possible cuts ``p[0..m]`` with penalties ``q`` the cheapest packing is
     best[j] = min over i, p[j] - p[i] <= window, of best[i] + window - (p[j] - p[i]) + q[j]
 
 The part that depends on ``i`` is ``best[i] + p[i]``, so a monotone queue holds the
-minimum of the sliding range and every cut costs constant time.  What does not fill a
-window at the end of a partition goes into windows whose length is a power of two, which
+minimum of the sliding range and every cut costs constant time.  Only the rest of a
+partition, less than a window, goes into windows whose length is a power of two, which
 need no padding.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
-from array import array
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from needlework.llm.arrow import column, raw_texts, small_batches
+from needlework.llm.tokens import text_ids
 
 PIECES = (
     "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, "
@@ -53,83 +51,6 @@ class Packing:
     segment: int = 1 << 19
 
 
-class WordIds:
-    """Ids of texts, by way of their white-space separated words.
-
-    White space never is part of a token of this tokenizer, so a text's ids are its
-    words' ids one after another.  It also lower-cases and cuts between letters and
-    punctuation, so a new word is looked up in lower case and without its final marks
-    before it is encoded.  At most twice ``most`` words are kept: those met since the last
-    time there were too many, and those met in the period before.
-    """
-
-    MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
-
-    def __init__(self, tokenizer_file: str, most: int = 700_000, longest: int = 40):
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.most, self.longest = Tokenizer.from_file(tokenizer_file), most, longest
-        self.ends = sentence_ends(self.tokenizer)
-        self.known: dict[bytes, bytes] = {}
-        self.before: dict[bytes, bytes] = {}
-
-    def parts(self, word: bytes) -> tuple[bytes, bytes]:
-        """Two words with the same ids one after the other; the second may be empty."""
-        if b"<|" in word:  # may hold a special token, which only matches as it is written
-            return word, b""
-        word = word.lower()
-        stem = word.rstrip(self.MARKS)
-        if len(stem) in (0, len(word)) or not stem[-4:].decode("utf-8", "ignore")[-1:].isalnum():
-            return word, b""
-        return stem, word[len(stem) :]
-
-    def learn(self, words: set[bytes]) -> list[bytes]:
-        """Adds the ids of unknown words; returns those that are too long to be kept."""
-        if len(self.known) > self.most:
-            self.known, self.before = {}, self.known
-        self.known[b""] = b""
-        new = self.recalled(words.difference(self.known))
-        cut = {w: self.parts(w) for w in new}
-        stems = list(self.recalled({p for parts in cut.values() for p in parts}.difference(self.known)))
-        for at in range(0, len(stems), 8192):
-            part = stems[at : at + 8192]
-            coded = self.tokenizer.encode_batch_fast([s.decode("utf-8", "replace") for s in part], add_special_tokens=False)
-            for stem, code in zip(part, coded, strict=True):
-                self.known[stem] = array("I", code.ids).tobytes()
-        for word, (stem, marks) in cut.items():
-            self.known[word] = self.known[stem] + self.known[marks]
-        return [w for w in {*new, *stems} if len(w) > self.longest]
-
-    def recalled(self, words: set[bytes]) -> set[bytes]:
-        """Takes over what the period before knows of ``words``; returns the rest."""
-        old = words.intersection(self.before)
-        self.known.update((w, self.before[w]) for w in old)
-        return words - old
-
-    def of(self, texts: list[bytes]) -> list[np.ndarray]:
-        split = [t.split() for t in texts]
-        long = self.learn(set().union(*split))
-        found = [np.frombuffer(b"".join(map(self.known.__getitem__, words)), dtype=np.uint32) for words in split]
-        for word in long:
-            del self.known[word]
-        return found
-
-
-@lru_cache(maxsize=1)
-def word_ids(tokenizer_file: str) -> WordIds:
-    """One for all tasks that a Python worker runs."""
-    return WordIds(tokenizer_file)
-
-
-def sentence_ends(tokenizer) -> np.ndarray:
-    """Which ids end a sentence: a full stop, exclamation or question mark at a word's end."""
-    ends = np.zeros(tokenizer.get_vocab_size() + 1, dtype=bool)
-    for token, at in tokenizer.get_vocab().items():
-        if re.search(r"[.!?][\"')\]]*</w>$", token):
-            ends[at] = True
-    return ends
-
-
 def possible_cuts(ids: np.ndarray, ends: np.ndarray, last: np.ndarray, how: Packing) -> tuple[np.ndarray, np.ndarray]:
     """Cut positions with their penalties; ``last`` holds the documents' ends."""
     penalty = np.full(len(ids) + 1, -1, dtype=np.int64)
@@ -152,8 +73,10 @@ def possible_cuts(ids: np.ndarray, ends: np.ndarray, last: np.ndarray, how: Pack
 
 
 def best_cuts(at: np.ndarray, penalty: np.ndarray, window: int) -> list[int]:
-    """Positions of the cheapest packing, the first and the last included.
+    """Positions of the cheapest packing from the first cut on.
 
+    It ends at whichever cut, less than a window before the last, makes it cheapest, so no
+    window has to be short for the end's sake; what is left behind that cut is not packed.
     Neighbouring cuts must be no further apart than a window.
     """
     where, extra = at.tolist(), penalty.tolist()
@@ -171,7 +94,10 @@ def best_cuts(at: np.ndarray, penalty: np.ndarray, window: int) -> list[int]:
         while queue and keys[queue[-1]] > key:
             queue.pop()
         queue.append(j)
-    path, j = [where[-1]], len(where) - 1
+    # a rest of k tokens is no padding, so ends are compared as if it were filled up
+    ends = range(int(np.searchsorted(at, where[-1] - window, side="right")), len(where))
+    j = min(ends, key=lambda k: (cost[k], -k))
+    path = [where[j]]
     while j:
         j = before[j]
         path.append(where[j])
@@ -196,21 +122,18 @@ class Packer:
         return self.flush(False) if self.waiting >= self.how.segment else []
 
     def flush(self, final: bool) -> list[tuple]:
-        """Pieces of all that waits; the last window waits on unless this is the end."""
+        """Pieces of all that waits; less than a window waits on, unless this is the end."""
         if not self.waiting:
             return []
         ids = np.concatenate([d[1][d[2] :] for d in self.docs])
         last = np.cumsum([len(d[1]) - d[2] for d in self.docs])
         path = best_cuts(*possible_cuts(ids, self.ends, last, self.how), self.how.window)
         lengths = np.diff(path).tolist()
-        if not final and len(lengths) > 1:
-            lengths.pop()
-        whole = []
-        for n in lengths:
-            parts = powers_of_two(n)
-            padding = self.how.window - n
-            whole += parts if padding > self.how.inner_cut * (len(parts) - 1) else [n]
-        return self.pieces(whole)
+        rest = len(ids) - path[-1]
+        if final and rest:
+            parts = powers_of_two(rest)
+            lengths += parts if self.how.window - rest > self.how.inner_cut * (len(parts) - 1) else [rest]
+        return self.pieces(lengths)
 
     def pieces(self, lengths: list[int]) -> list[tuple]:
         out, at = [], 0
@@ -233,16 +156,15 @@ class Packer:
 def pack(docs: DataFrame, tokenizer_file: str, how: Packing = Packing()) -> DataFrame:
     """One row per piece of a document; see ``PIECES``.
 
-    ``tokenizer_file`` must exist wherever tasks run; its tokens must not span white
-    space.  A null text has no ids of its own but still the end id, a null doc_id stays
+    ``tokenizer_file`` must exist wherever tasks run; see ``tokens`` for what it must do.  A null text has no ids of its own but still the end id, a null doc_id stays
     null, repeated rows are packed once each, other columns are ignored, and an empty
     table has no pieces.  Equal partitions give equal rows, so a task that runs again
     repeats its result; sequence ids start at the partition's number times 2**40.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = word_ids(tokenizer_file)
-        packer = Packer(how, words.ends, TaskContext.get().partitionId() << 40)
+        words = text_ids(tokenizer_file)
+        packer = Packer(how, words.sentence_ends, TaskContext.get().partitionId() << 40)
         end = np.array([how.end_id], dtype=np.uint32)
         for batch in small_batches(batches, most=4 << 20):
             rows: list[tuple] = []
