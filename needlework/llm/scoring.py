@@ -1,14 +1,19 @@
-"""Language-model scores with stupid backoff, as joins of n-gram tables.
+"""Language-model scores with stupid backoff, by joining a document's n-grams with n-gram tables.
 
-The units are the ids of a public tokenizer, so single ids form a table of bounded size
-and a pair of ids fits into one number.  Pairs are counted over all documents into a
-table partitioned by the pair's hash.  For scoring, the pairs of a batch of documents are
-filed once per batch with the documents they occur in: the commonest pair has one row a
-batch, so no key gathers a share of the corpus.  These rows are joined to the counts,
-scored, exploded to documents and summed.
+The units are the ids of a public tokenizer.  The n-grams of a batch of documents are
+counted where the documents are read and sent to buckets of a hash of their context, so
+the table of counts is partitioned by that hash: a bucket sums what all batches send and
+answers each batch with the counts of its own n-grams and contexts.  A batch's row of
+ids travels beside them, meets the answers, and its documents are scored and summed.
+An n-gram takes one entry per batch, however common it is, and travels in a few bytes.
 
-    S(w | v) = c(v w) / c(v)          if c(v w) >= least
-             = backoff * c(w) / N     otherwise
+    S(w | u v) = c(u v w) / c(u v)                if c(u v w) > 0
+                 factor * c(v w) / c(v)           else, if c(v w) > 0
+                 factor**2 * c(w) / N             otherwise
+
+A document that is part of the corpus is scored by the rest of it: its own n-grams are
+taken out of every count.  So all counts are used, and only what other documents hold,
+or a copy of the document, counts as seen.
 """
 
 from __future__ import annotations
@@ -23,117 +28,290 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from needlework.llm.arrow import column, raw_texts, small_batches
-from needlework.llm.packing import word_ids
-from needlework.llm.store import stored
+from needlework.llm.tokens import text_ids
 
-#: Ids are below this; it is the context of a document's first id.
-START = (1 << 16) - 1
+#: Ids are below these; they stand before a document's first id and behind its last.
+END, START = (1 << 16) - 2, (1 << 16) - 1
+#: Counts are passed on up to this.
+MOST = (1 << 32) - 1
+#: Documents of a batch.
+MOST_ROWS = 1 << 14
+SCATTER = np.uint64(0x9E3779B1)
 
 
 @dataclass(frozen=True)
 class Backoff:
-    """least: count from which a pair is trusted; factor: of the single id's share otherwise."""
+    """order: ids of an n-gram, 2 or 3; factor: price of a step to a shorter one; bucket: n-grams summed at a time."""
 
-    least: int = 2
+    order: int = 3
     factor: float = 0.4
+    bucket: int = 1 << 21
+
+
+# ---- n-grams of a batch ----------------------------------------------------------------------
+
+
+def scattered(context: np.ndarray) -> np.ndarray:
+    """Contexts of up to 32 bits in another order, that hashes them into ranges; one to one."""
+    out = context * SCATTER & np.uint64(0xFFFFFFFF)
+    out ^= out >> np.uint64(15)
+    return out * SCATTER & np.uint64(0xFFFFFFFF)
+
+
+def grams_of(ids: np.ndarray, sizes: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """All n-grams, scattered context * 2**16 + id, text by text, and their text's number.
+
+    Every text with ids has one more at its end, so that an (order - 1)-gram occurs as often
+    as all n-grams that it begins.
+    """
+    some = np.flatnonzero(sizes > 0)
+    if not len(some):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    size = sizes[some] + 1
+    text = np.repeat(some, size)
+    ends = np.cumsum(size) - 1
+    last = np.full(len(text), END, dtype=np.uint64)
+    inner = np.ones(len(text), dtype=bool)
+    inner[ends] = False
+    last[inner] = ids
+    context = np.zeros(len(text), dtype=np.uint64)
+    before = last
+    for k in range(order - 1):
+        before = np.concatenate([[np.uint64(START)], before[:-1]])
+        before[ends[:-1] + 1] = START
+        context |= before << np.uint64(16 * k)
+    return scattered(context) << np.uint64(16) | last, text
+
+
+def packed(*arrays: np.ndarray) -> bytes:
+    """Arrays of numbers below 2**32 in few bytes: like bytes together, then compressed."""
+    import zstandard
+
+    body = [np.array([len(a) for a in arrays], dtype="<u4").tobytes()]
+    body += [np.ascontiguousarray(a.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes() for a in arrays]
+    return bytes([len(arrays)]) + zstandard.ZstdCompressor(level=1).compress(b"".join(body))
 
 
-def pairs(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs (context + 1) * 2**16 + id of some documents, and the document's number for each."""
-    sizes = np.array([len(a) for a in ids])
-    flat = np.concatenate(ids).astype(np.int64) if len(ids) else np.zeros(0, np.int64)
-    doc = np.repeat(np.arange(len(ids)), sizes)
-    context = np.roll(flat, 1)
-    context[(np.cumsum(sizes) - sizes)[sizes > 0]] = START
-    return (context + 1) << 16 | flat, doc
+def unpacked(data: bytes) -> list[np.ndarray]:
+    import zstandard
 
+    body, n = zstandard.ZstdDecompressor().decompress(data[1:]), data[0]
+    out, at = [], 4 * n
+    for size in np.frombuffer(body, dtype="<u4", count=n).tolist():
+        planes = np.frombuffer(body, dtype=np.uint8, count=4 * size, offset=at).reshape(4, size)
+        out.append(np.ascontiguousarray(planes.T).view("<u4").ravel())
+        at += 4 * size
+    return out
 
-def counts(docs: DataFrame, tokenizer_file: str) -> DataFrame:
-    """gram, n over all documents, stored: single ids below 2**16 (START: documents with text), pairs above."""
+
+def groups(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and length of the runs of equal sorted values."""
+    if not len(values):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    start = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+    return start, np.diff(np.append(start, len(values)))
+
+
+def as_bucket(grams: np.ndarray, counts: np.ndarray) -> bytes:
+    """Sorted n-grams with their counts: contexts by their differences, then their ids."""
+    contexts = grams >> np.uint64(16)
+    start, length = groups(contexts)
+    return packed(np.diff(contexts[start], prepend=np.uint64(0)), length, grams & np.uint64(0xFFFF), counts)
+
+
+def from_bucket(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    step, length, last, counts = unpacked(data)
+    contexts = np.cumsum(step, dtype=np.uint64)
+    return np.repeat(contexts, length) << np.uint64(16) | last, counts.astype(np.int64)
+
+
+ROW = "bucket int, batch bigint, asks boolean, data binary, doc_id array<bigint>"
+
+
+def as_rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.list_(pa.int64())]
+    columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+    return pa.RecordBatch.from_arrays(columns, names=["bucket", "batch", "asks", "data", "doc_id"])
+
+
+def sent(docs: DataFrame, tokenizer_file: str, order: int, bits: int, asks: bool) -> DataFrame:
+    """Per batch: its ids (bucket -1, if it asks) and its n-grams by bucket, the first ``bits`` bits of the context."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = word_ids(tokenizer_file)
-        for batch in small_batches(batches):
-            found, _ = pairs(words.of(raw_texts(batch)))
-            singles = np.concatenate([found & START, np.full((found >> 16 == START + 1).sum(), START)])
-            gram, n = np.unique(np.concatenate([found, singles]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(n)], names=["gram", "n"])
+        words, nr = text_ids(tokenizer_file), TaskContext.get().partitionId() << 32
+        for large in small_batches(batches, most=4 << 20):
+            for batch in (large.slice(at, MOST_ROWS) for at in range(0, large.num_rows, MOST_ROWS)):
+                parts = words.of(raw_texts(batch))
+                sizes = np.array([len(p) for p in parts], dtype=np.int64)
+                ids = np.concatenate(parts)
+                rows = [(-1, nr, asks, packed(ids, sizes), column(batch, "doc_id").to_pylist())] if asks else []
+                grams, _ = grams_of(ids, sizes, order)
+                grams, counts = np.unique(grams, return_counts=True)
+                bucket = (grams >> np.uint64(48 - bits)).astype(np.int64)
+                for start, n in zip(*groups(bucket), strict=True):
+                    part = slice(start, start + n)
+                    rows.append((int(bucket[start]), nr, asks, as_bucket(grams[part], counts[part]), None))
+                if rows:
+                    yield as_rows(rows)
+                nr += 1
+
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, ROW)
 
-    each = docs.select("text").mapInArrow(run, "gram bigint, n bigint")
-    return stored(each.groupBy("gram").agg(F.sum("n").alias("n")))
 
+# ---- the tables and their answers ---------------------------------------------------------------
 
-FILED = "batch bigint, gram bigint, doc array<int>, times array<int>, doc_id array<bigint>, tokens array<bigint>"
 
+def answers(bucket: int, held: list[tuple], own: bool) -> Iterator[tuple]:
+    """For every row (batch, asks, data) of a bucket that asks, the counts of its n-grams and contexts."""
+    lists = [from_bucket(data) for _, _, data in held]
+    every, place = np.unique(np.concatenate([g for g, _ in lists]), return_inverse=True)
+    weight = np.concatenate([n if own or not asks else 0 * n for (_, n), (_, asks, _) in zip(lists, held, strict=True)])
+    total = np.bincount(place, weights=weight, minlength=len(every)).astype(np.int64)
+    start, length = groups(every >> np.uint64(16))
+    context = np.repeat(np.add.reduceat(total, start), length)
+    total, context = np.minimum(total, MOST), np.minimum(context, MOST)
+    at = 0
+    for (batch, asks, _), (grams, _) in zip(held, lists, strict=True):
+        mine = place[at : at + len(grams)]
+        at += len(grams)
+        if asks:
+            first, _ = groups(grams >> np.uint64(16))
+            yield bucket, batch, True, packed(total[mine], context[mine][first]), None
 
-def filed(docs: DataFrame, tokenizer_file: str) -> DataFrame:
-    """Per batch and pair the documents it occurs in, and per batch one row with their ids and lengths.
 
-    The latter has a negative gram of its own, so these rows spread out as well.
+def answered(rows: DataFrame, own: bool) -> DataFrame:
+    """The batches' ids as they are, and for each batch and bucket the corpus counts of its n-grams and contexts.
+
+    Rows that do not ask make up the corpus, or all rows if the documents are their ``own``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, nr = word_ids(tokenizer_file), TaskContext.get().partitionId() << 32
-        for batch in small_batches(batches):
-            ids = words.of(raw_texts(batch))
-            gram, doc = pairs(ids)
-            key, times = np.unique(gram << 20 | doc, return_counts=True)
-            gram, doc = key >> 20, key & ((1 << 20) - 1)
-            starts = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]])) if len(gram) else np.zeros(0, int)
-            offsets = pa.array(np.append(starts, len(gram)).astype(np.int32))
-            n = len(starts)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.full(n, nr)), pa.array(gram[starts]),
-                    pa.ListArray.from_arrays(offsets, pa.array(doc.astype(np.int32))),
-                    pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int32))),
-                    pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.list_(pa.int64())),
-                ],
-                names=["batch", "gram", "doc", "times", "doc_id", "tokens"],
-            )
-            own = {
-                "batch": [nr], "gram": [-1 - nr], "doc": [list(range(len(ids)))], "times": [[0] * len(ids)],
-                "doc_id": [column(batch, "doc_id").to_pylist()], "tokens": [[len(a) for a in ids]],
-            }
-            kinds = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), *[pa.list_(pa.int64())] * 2]
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(own.values(), kinds, strict=True)], names=list(own))
-            nr += 1
-
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, FILED)
-
-
-def score(docs: DataFrame, table: DataFrame, tokenizer_file: str, how: Backoff = Backoff()) -> DataFrame:
+        now, held = None, []
+        for rows in batches:
+            for bucket, batch, asks, data, doc_id in zip(*(c.to_pylist() for c in rows.columns), strict=True):
+                if bucket == -1:
+                    yield as_rows([(bucket, batch, asks, data, doc_id)])
+                    continue
+                if held and bucket != now:
+                    yield from (as_rows([r]) for r in answers(now, held, own))
+                    held = []
+                now = bucket
+                held.append((batch, asks, data))
+        if held:
+            yield from (as_rows([r]) for r in answers(now, held, own))
+
+    place = F.when(F.col("bucket") < 0, F.xxhash64("batch")).otherwise(F.col("bucket"))
+    return rows.repartition(place).sortWithinPartitions("bucket").mapInArrow(run, ROW)
+
+
+def single_counts(docs: DataFrame, tokenizer_file: str) -> np.ndarray:
+    """How often each id occurs; at ``START``, the number of texts with ids.  A table of 2**16 rows at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, total = text_ids(tokenizer_file), np.zeros(1 << 16, dtype=np.int64)
+        for batch in small_batches(batches, most=4 << 20):
+            parts = words.of(raw_texts(batch))
+            total += np.bincount(np.concatenate(parts), minlength=1 << 16)
+            total[START] += sum(len(p) > 0 for p in parts)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["id", "n"])
+
+    out = np.zeros(1 << 16, dtype=np.int64)
+    for row in docs.select("text").mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect():
+        out[row["id"]] = row["n"]
+    return out
+
+
+# ---- scores -----------------------------------------------------------------------------------------
+
+
+def own_counts(values: np.ndarray) -> np.ndarray:
+    """For every value how often it occurs."""
+    _, place, n = np.unique(values, return_inverse=True, return_counts=True)
+    return n[place]
+
+
+def scores(ids, sizes, gram_n, context_n, singles, how: Backoff, own: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Per text the sum of its ids' log scores, and how many of them backed off.
+
+    ``gram_n`` and ``context_n`` belong to the batch's distinct n-grams and contexts, in order.
+    """
+    grams, text = grams_of(ids, sizes, how.order)
+    every, place = np.unique(grams, return_inverse=True)
+    first, length = groups(every >> np.uint64(16))
+    gram_n, context_n = gram_n[place], np.repeat(context_n, length)[place]
+    scored = (grams & np.uint64(0xFFFF)) != END
+    number = text.astype(np.uint64) << np.uint64(48)
+    if own:
+        gram_n = gram_n - own_counts(number | grams)
+        context_n = context_n - own_counts(number | grams >> np.uint64(16))
+    last = np.where(scored, grams & np.uint64(0xFFFF), 0).astype(np.int64)
+    single, before = singles[last], np.concatenate([[START], last[:-1]])
+    before[np.flatnonzero(np.diff(text, prepend=-1))] = START
+    before_n = singles[before]
+    total = np.full(len(last), singles[:START].sum())
+    if own:
+        single = single - np.where(scored, own_counts(np.where(scored, text << 16 | last, -1 - text)), 0)
+        own_before = own_counts(text << 16 | np.where(scored, last, END))
+        shifted = np.concatenate([[1], own_before[:-1]])
+        before_n = before_n - np.where(before == START, 1, shifted)
+        total = total - sizes[text]
+    value = np.log(how.factor ** (how.order - 1) * np.maximum(single, 1) / np.maximum(total, 1))
+    if how.order == 3:
+        # the pair (v, w) is the context of the place that follows
+        pair_n = np.append(context_n[1:], 0)
+        value = np.where(pair_n > 0, np.log(how.factor * np.maximum(pair_n, 1) / np.maximum(before_n, 1)), value)
+    seen = gram_n > 0
+    value = np.where(seen, np.log(np.maximum(gram_n, 1) / np.maximum(context_n, 1)), value)
+    sums = np.bincount(text[scored], weights=value[scored], minlength=len(sizes)).astype(np.float64)
+    return sums, np.bincount(text[scored & ~seen], minlength=len(sizes))
+
+
+SCORES = "doc_id bigint, n_tokens bigint, n_backoff bigint, log_score double, mean_score double"
+
+
+def score(docs: DataFrame, tokenizer_file: str, corpus: DataFrame | None = None, how: Backoff = Backoff()) -> DataFrame:
     """Per document: doc_id, n_tokens, n_backoff (ids scored by backoff), log_score (their sum), mean_score.
 
-    ``table`` comes from ``counts``.  Single ids, at most 2**16, are broadcast.  An id that
-    the table lacks counts as seen once.  A null or empty text has no ids, log_score 0 and
-    a null mean_score; null ids stay null, repeated rows are scored one by one, an empty
-    table gives no rows, other columns are ignored.
+    Without a ``corpus`` the documents are their own, and each is scored by all others.  A
+    count that is needed and zero counts as one.  A null or empty text has no ids,
+    log_score 0 and a null mean_score; null ids stay null, repeated rows are documents of
+    their own, an empty table gives no rows, an empty corpus is as good as none of the
+    n-grams seen, other columns are ignored.
     """
-    singles = stored(table.where(F.col("gram") <= START))
-    total = singles.where(F.col("gram") < START).agg(F.sum("n")).first()[0] or 1
-    context = F.broadcast(singles.select(F.col("gram").alias("context"), F.col("n").alias("context_n")))
-    single = F.broadcast(singles.select(F.col("gram").alias("id"), F.col("n").alias("id_n")))
-    known = table.where(F.col("gram") > START).where(F.col("n") >= how.least)
-    scored = table_scores(filed(docs, tokenizer_file), known, context, single, total, how)
-    parts = scored.select("batch", "score", "backed", "times", "doc_id", "tokens", F.posexplode("doc").alias("at", "doc"))
-    at = lambda name: F.get(F.col(name), F.col("at"))
-    sums = parts.groupBy("batch", "doc").agg(
-        F.max(at("doc_id")).alias("doc_id"),
-        F.max(at("tokens")).alias("n_tokens"),
-        F.sum(F.when(F.col("backed"), at("times")).otherwise(0)).alias("n_backoff"),
-        F.sum(at("times") * F.col("score")).alias("log_score"),
-    )
-    mean = F.when(F.col("n_tokens") > 0, F.col("log_score") / F.col("n_tokens"))
-    return sums.select("doc_id", "n_tokens", "n_backoff", "log_score", mean.alias("mean_score"))
-
-
-def table_scores(rows: DataFrame, known: DataFrame, context: DataFrame, single: DataFrame, total: int, how: Backoff) -> DataFrame:
-    """The filed rows with the logarithm of their pair's score, 0 for the rows of ids."""
-    joined = rows.join(known, "gram", "left")
-    joined = joined.withColumn("context", F.shiftright("gram", 16) - 1).withColumn("id", F.col("gram").bitwiseAND(F.lit(START)))
-    joined = joined.join(context, "context", "left").join(single, "id", "left")
-    backed = F.col("n").isNull() & (F.col("gram") >= 0)
-    share = F.coalesce("id_n", F.lit(1)) / F.lit(float(total))
-    value = F.when(backed, F.log(F.lit(how.factor) * share)).otherwise(F.log(F.col("n") / F.col("context_n")))
-    return joined.withColumn("backed", backed).withColumn("score", F.when(F.col("gram") < 0, F.lit(0.0)).otherwise(value))
+    own, source = corpus is None, docs if corpus is None else corpus
+    size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bits = min(32, max(size // 3 // how.bucket, 2 * parts).bit_length())
+    singles = single_counts(source, tokenizer_file)
+    rows = sent(docs, tokenizer_file, how.order, bits, True)
+    if not own:
+        rows = rows.unionByName(sent(source, tokenizer_file, how.order, bits, False))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A batch's ids come first, then the answers to its n-grams in order."""
+        now, counts = None, []
+
+        def finish() -> pa.RecordBatch:
+            ids, sizes = unpacked(now[0])
+            sizes = sizes.astype(np.int64)
+            found = [unpacked(c) for c in counts]
+            both = [np.concatenate([np.zeros(0, np.int64), *(f[k].astype(np.int64) for f in found)]) for k in (0, 1)]
+            sums, backed = scores(ids, sizes, *both, singles, how, own)
+            mean = pa.array(sums / np.maximum(sizes, 1), mask=sizes == 0)
+            columns = [pa.array(now[1], pa.int64()), pa.array(sizes), pa.array(backed), pa.array(sums), mean]
+            return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in SCORES.split(", ")])
+
+        for batch in batches:
+            for bucket, data, doc_id in zip(*(column(batch, c).to_pylist() for c in ("bucket", "data", "doc_id")), strict=True):
+                if bucket >= 0:
+                    counts.append(data)
+                    continue
+                if now:
+                    yield finish()
+                now, counts = (data, doc_id), []
+        if now:
+            yield finish()
+
+    ordered = answered(rows, own).repartition("batch").sortWithinPartitions("batch", "bucket")
+    return ordered.mapInArrow(run, SCORES)
