@@ -1,66 +1,243 @@
-"""The scan for large dictionaries, as an equi-join.
+"""The scan for large dictionaries, as an equi-join on short byte strings.
 
-Every pattern is filed under one of its k-grams, the rarest one in the dictionary.
-A text can contain the pattern only if it contains that k-gram, so joining the
-distinct k-grams of a text with the anchors finds all candidates; ``contains``
-confirms them.  Cost per text is its length plus its candidates, whatever the size of
-the dictionary.
+A pattern of up to seven bytes is its own anchor, a longer one is filed under its first
+seven.  Every text gives out the distinct byte strings of the lengths that the dictionary
+has, with the number of their starts, found by sorting its places once.  Before they
+leave the scan they are asked from a Bloom filter of all anchors, so what is joined are
+the candidates and a stated few strangers, however large the text.  Matches of the short
+patterns are exact then; a long pattern is compared with what follows its anchor, and
+beyond ``TAIL`` bytes with the text itself.
 
-k is the largest of ``GRAMS`` that fits into the pattern.  Long grams matter: a third
-of all words may share four letters, hardly any two share eight.
+UTF-8 keeps characters apart, so matches of bytes are matches of characters.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
 from needlework.functions.hits import occurrences
 
-GRAMS = (8, 6, 4, 3, 2, 1)
+#: Bytes of an anchor; the tag of a longer pattern's is one more.
+ANCHOR = 7
+#: Bytes behind an anchor that leave the scan with it.
+TAIL = 64
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 256 * 1024 * 1024
-ROW_BYTES = 128  # of a filed pattern, besides the pattern, its gram and its look-ahead
-SALTS = 16
-PIECE = 65_536
+ROW_BYTES = 128  # of a filed pattern, besides the pattern
+#: Bits of the filter for an anchor: about 1.4 % of other strings pass. Beyond FILTER_BITS in all more do.
+BITS, FILTER_BITS, BLOCK_BITS = 16, 1 << 28, 1 << 19
+#: Texts sorted together, and their bytes; a longer text is cut into pieces of as many.
+GROUP, GROUP_BYTES = 255, 1 << 20
+#: Grams with more than one in so many candidates are salted.
+HEAVY = 1024
+#: One in so many texts is looked at to find heavy grams.
+SAMPLE = 64
 
 
-def grams(text: Column, k: int) -> Column:
-    """The distinct substrings of length k, in linear time."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1)))
+# ---- anchors --------------------------------------------------------------------------
 
 
-def gram_size(pattern: Column) -> Column:
-    """Length of the grams a pattern is filed under; null for an empty pattern."""
-    return F.coalesce(*[F.when(F.char_length(pattern) >= k, F.lit(k)) for k in GRAMS])
+def anchor(pattern: Column) -> Column:
+    """Tag and bytes of a pattern's anchor as one number."""
+    size = F.octet_length(pattern)
+    start = F.substring(pattern.cast("binary"), 1, ANCHOR)
+    value = F.conv(F.hex(start), 16, 10).cast("bigint")
+    return F.when(size > 0, F.shiftleft(F.least(size, F.lit(ANCHOR + 1)).cast("bigint"), 8 * ANCHOR) + value)
 
 
-def anchors(dictionary: DataFrame, sizes: list[int]) -> DataFrame:
-    """Dictionary plus ``gram``, the anchor of each entry, its place ``at``, and ``overlap``."""
-    entries = dictionary.where(F.col("pattern") != "")
-    own = F.lit(None).cast("array<string>")
-    for k in sizes:
-        own = F.when(gram_size(F.col("pattern")) == k, grams(F.col("pattern"), k)).otherwise(own)
-    exploded = entries.select("pid", F.explode(own).alias("gram"))
-    counts = exploded.groupBy("gram").agg(F.count("*").alias("n"))
-    rarest = (
-        exploded.join(counts, "gram")
-        .groupBy("pid")
-        .agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
-    )
-    filed = entries.select("pid", "pattern", "weight").join(rarest, "pid")
-    return filed.withColumn("at", F.instr(F.col("pattern"), F.col("gram"))).withColumn("overlap", _overlap("pattern"))
+def filed(dictionary: DataFrame, tail: int = TAIL) -> DataFrame:
+    """pid, pattern, weight, gram (its anchor), rest (bytes behind it), whole (whether these are all), overlap."""
+    size = F.octet_length("pattern")
+    rest = F.when(size > ANCHOR, F.substring(F.col("pattern").cast("binary"), ANCHOR + 1, tail))
+    entries = dictionary.where(F.col("pattern") != "").select("pid", "pattern", "weight")
+    filed_under = entries.withColumn("gram", anchor(F.col("pattern"))).withColumn("rest", rest)
+    return filed_under.withColumn("whole", size <= ANCHOR + tail).withColumn("overlap", _overlap("pattern", tail))
 
 
-def _overlap(pattern: str) -> Column:
-    """Look-ahead regex if the pattern can overlap itself, else null."""
+def _overlap(pattern: str, tail: int) -> Column:
+    """Look-ahead regex if a pattern longer than its tail can overlap itself, else null."""
     p = F.col(pattern)
     bordered = F.exists(
         F.sequence(F.lit(1), F.greatest(F.char_length(p) - 1, F.lit(1))),
         lambda n: (n < F.char_length(p)) & (F.substring(p, F.lit(1), n) == F.right(p, n)),
     )
     quoted = F.replace(p, F.lit("\\E"), F.lit("\\E\\\\E\\Q"))
-    return F.when(bordered, F.concat(F.lit("(?=\\Q"), quoted, F.lit("\\E)")))
+    return F.when((F.octet_length(p) > ANCHOR + tail) & bordered, F.concat(F.lit("(?=\\Q"), quoted, F.lit("\\E)")))
+
+
+class Filter:
+    """A Bloom filter of anchors, of a power of two of bits."""
+
+    FACTORS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+
+    def __init__(self, bits: int, data: np.ndarray | None = None):
+        self.shift = np.uint64(64 - (bits.bit_length() - 1))
+        self.data = np.zeros(bits // 8, dtype=np.uint8) if data is None else data
+
+    def places(self, grams: np.ndarray) -> list[np.ndarray]:
+        return [(grams * f) >> self.shift for f in self.FACTORS]
+
+    def passes(self, grams: np.ndarray) -> np.ndarray:
+        found = np.ones(len(grams), dtype=bool)
+        for at in self.places(grams):
+            found &= (self.data[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+        return found
+
+
+def filter_of(grams: DataFrame, count: int) -> Filter:
+    """The filter of a column ``gram``, joined block by block; its size follows the counted dictionary."""
+    bits = 1 << min(FILTER_BITS.bit_length() - 1, max(10, (count * BITS - 1).bit_length()))
+    width = min(bits, BLOCK_BITS) // 8
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Filter(bits)
+        for batch in batches:
+            for at in own.places(batch.column(0).to_numpy().view(np.uint64)):
+                np.bitwise_or.at(own.data, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+        blocks = own.data.reshape(-1, width)
+        some = np.flatnonzero(blocks.any(axis=1))
+        if len(some):
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([blocks[k].tobytes() for k in some], pa.binary())], names=["block", "data"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found[block] = found.get(block, np.uint8(0)) | np.frombuffer(data, dtype=np.uint8)
+        if found:
+            values = [pa.array(list(found)), pa.array([v.tobytes() for v in found.values()], pa.binary())]
+            yield pa.RecordBatch.from_arrays(values, names=["block", "data"])
+
+    schema = "block bigint, data binary"
+    out = Filter(bits)
+    for row in grams.mapInArrow(mark, schema).repartition("block").mapInArrow(merge, schema).collect():
+        out.data[row["block"] * width :][:width] = np.frombuffer(row["data"], dtype=np.uint8)
+    return out
+
+
+# ---- the scan -------------------------------------------------------------------------
+
+
+def codes(data: np.ndarray) -> np.ndarray:
+    """The seven bytes from every place on, as numbers; ``data`` ends with as many zeros."""
+    n = len(data) - ANCHOR
+    out = np.zeros(n, dtype=np.uint64)
+    for k in range(ANCHOR):
+        out = (out << np.uint64(8)) | data[k : k + n]
+    return out
+
+
+def starts_of(texts: list[bytes], sizes: list[int], anchors: Filter, upto: int | None = None) -> tuple[np.ndarray, ...]:
+    """Of up to ``GROUP`` texts: text, gram, number of starts, and the places of each gram of a longer pattern, one after another.
+
+    Places count through the joined texts, between which are ``ANCHOR`` zeros; starts from
+    place ``upto`` on are left out.
+    """
+    data = np.frombuffer(bytes(ANCHOR).join([*texts, b""]), dtype=np.uint8)
+    lengths = np.array([len(t) for t in texts], dtype=np.int64)
+    begin = np.cumsum(lengths + ANCHOR) - lengths - ANCHOR
+    place = np.repeat(begin - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+    text = np.repeat(np.arange(len(texts), dtype=np.uint64), lengths)
+    left = np.repeat(begin + lengths, lengths) - place
+    if upto is not None:
+        place, text, left = place[:upto], text[:upto], left[:upto]
+    key = codes(data)[place] | text << np.uint64(8 * ANCHOR)
+    order = np.argsort(key)
+    key, left, place = key[order], left[order], place[order]
+    nothing = np.zeros(0, np.int64)
+    found: list[tuple[np.ndarray, ...]] = [(nothing, nothing.astype(np.uint64), nothing, nothing)]
+    for size in sizes:
+        valid = left >= size
+        own = key[valid] >> np.uint64(8 * (ANCHOR - min(size, ANCHOR)))
+        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, np.int64)
+        n = np.diff(np.append(first, len(own)))
+        bits = np.uint64(8 * min(size, ANCHOR))
+        of, gram = own[first] >> bits, own[first] & ((np.uint64(1) << bits) - np.uint64(1)) | np.uint64(size << 8 * ANCHOR)
+        kept = anchors.passes(gram)
+        at = place[valid][np.repeat(kept, n)] if size > ANCHOR else np.zeros(0, np.int64)
+        found.append((of[kept].astype(np.int64), gram[kept], n[kept], at))
+    of, gram, n = (np.concatenate([f[k] for f in found]) for k in range(3))
+    by_text = np.argsort(of, kind="stable")
+    # grams of longer patterns come from one size only, so their places keep the order of the texts
+    return of[by_text], gram[by_text], n[by_text], np.concatenate([f[3] for f in found])
+
+
+def starts_in_pieces(text: bytes, sizes: list[int], anchors: Filter, piece: int) -> tuple[np.ndarray, ...]:
+    """The same of one long text, sorted piece by piece; the pieces' anchors reach into the next."""
+    parts = []
+    for at in range(0, len(text), piece):
+        _, gram, n, place = starts_of([text[at : at + piece + ANCHOR]], sizes, anchors, piece)
+        tall = is_tall(gram)
+        parts.append((gram, n, np.repeat(gram[tall], n[tall]), place + at))
+    every, counts, gram_of, place = (np.concatenate([p[k] for p in parts]) for k in range(4))
+    gram, which = np.unique(every, return_inverse=True)
+    n = np.bincount(which, weights=counts, minlength=len(gram)).astype(np.int64)
+    return np.zeros(len(gram), np.int64), gram, n, place[np.argsort(gram_of, kind="stable")]
+
+
+def is_tall(gram: np.ndarray) -> np.ndarray:
+    """Whether anchors are those of longer patterns."""
+    return gram >> np.uint64(8 * ANCHOR) > ANCHOR
+
+
+def tails_of(data: np.ndarray, end: np.ndarray, place: np.ndarray, tail: int) -> pa.Array:
+    """The bytes behind the anchors at ``place``, at most ``tail`` and none beyond the texts' ends."""
+    start = place + ANCHOR
+    size = np.minimum(end - start, tail)
+    before = np.cumsum(size) - size
+    at = np.repeat(start - before, size) + np.arange(size.sum())
+    offsets = np.append(before, size.sum()).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(place), [None, pa.py_buffer(offsets), pa.py_buffer(data[at])])
+
+
+def grouped(values: list[bytes], piece: int) -> Iterator[tuple[int, int]]:
+    """Stretches of texts that are sorted together."""
+    start, size = 0, 0
+    for k, text in enumerate(values):
+        if k > start and (k - start == GROUP or size + len(text) > piece):
+            yield start, k
+            start, size = k, 0
+        size += len(text)
+    if start < len(values):
+        yield start, len(values)
+
+
+def candidates(
+    texts: DataFrame, columns: list[str], text: str, sizes: list[int], anchors: Filter, tail: int = TAIL, piece: int = GROUP_BYTES
+) -> DataFrame:
+    """(columns, gram, starts, tails): the texts' byte strings that pass the filter; one row per text and string."""
+    source = texts.select(*columns, F.col(text).alias("_scanned"))
+    lists = {"_gram": LongType(), "_starts": IntegerType(), "_tails": ArrayType(BinaryType())}
+    schema = StructType([*texts.select(*columns).schema.fields, *[StructField(n, ArrayType(t)) for n, t in lists.items()]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = [v or b"" for v in batch.column(len(columns)).cast(pa.large_binary()).to_pylist()]
+            for lo, hi in grouped(values, piece):
+                own = values[lo:hi]
+                long = len(own) == 1 and len(own[0]) > piece
+                of, gram, n, place = starts_in_pieces(own[0], sizes, anchors, piece) if long else starts_of(own, sizes, anchors)
+                data = np.frombuffer(bytes(ANCHOR).join(own), dtype=np.uint8)
+                lengths = np.array([len(t) for t in own], dtype=np.int64)
+                stop = np.cumsum(lengths + ANCHOR) - ANCHOR
+                tall = is_tall(gram)
+                tails = tails_of(data, np.repeat(stop[of[tall]], n[tall]), place, tail)
+                ends = np.append(0, np.cumsum(np.where(tall, n, 0))).astype(np.int32)
+                bounds = np.append(0, np.cumsum(np.bincount(of, minlength=len(own)))).astype(np.int32)
+                values_ = [pa.array(gram.view(np.int64)), pa.array(n.astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), tails)]
+                found = [pa.ListArray.from_arrays(pa.array(bounds), v) for v in values_]
+                keys = [batch.column(k).slice(lo, hi - lo) for k in range(len(columns))]
+                yield pa.RecordBatch.from_arrays([*keys, *found], names=[*columns, *lists])
+
+    rows = source.mapInArrow(run, schema)
+    zipped = F.arrays_zip(F.col("_gram").alias("gram"), F.col("_starts").alias("starts"), F.col("_tails").alias("tails"))
+    return rows.select(*columns, F.inline(zipped))
 
 
 def anchored_hits(
@@ -68,86 +245,73 @@ def anchored_hits(
     dictionary: DataFrame,
     keys: list[str],
     text: str,
-    keep_text: bool = False,
     broadcast_rows: int = BROADCAST_ROWS,
     broadcast_bytes: int = BROADCAST_BYTES,
+    tail: int = TAIL,
+    piece: int = GROUP_BYTES,
 ) -> DataFrame:
     """(keys, pid, pattern, weight, hits), one row per text and pattern found in it.
 
     The dictionary is measured first.  Within the bounds it is broadcast and only
-    confirmed hits leave the scan; beyond them both sides are shuffled.
+    confirmed hits leave the scan; beyond them candidates and patterns are shuffled, with
+    salts by the measured share of a gram.
     """
+    entries = filed(dictionary, tail)
     measured = (
-        dictionary.where(F.col("pattern") != "")
-        .groupBy(gram_size(F.col("pattern")).alias("k"))
-        .agg(F.count("*").alias("n"), F.sum(F.octet_length("pattern") * 3 + ROW_BYTES).alias("bytes"))
-        .collect()  # one row per gram size
+        entries.groupBy(F.shiftright("gram", 8 * ANCHOR).cast("int").alias("size"))
+        .agg(F.count("*").alias("n"), F.sum(F.octet_length("pattern") * 3 + ROW_BYTES).alias("bytes"), F.max(F.octet_length("pattern")).alias("longest"))
+        .collect()  # one row per length of an anchor
     )
-    sizes = sorted(row["k"] for row in measured)
-    filed = anchors(dictionary, sizes)
-    small = sum(r["n"] for r in measured) <= broadcast_rows and sum(r["bytes"] for r in measured) <= broadcast_bytes
-    exploded = _text_grams(texts, keys, text, sizes)
-    if small:
-        candidates = exploded.join(F.broadcast(filed), "gram")
+    sizes = sorted(r["size"] for r in measured)
+    rows, longest = sum(r["n"] for r in measured), max((r["longest"] for r in measured), default=0)
+    anchors = filter_of(entries.select("gram"), max(rows, 1))
+    found = candidates(texts, keys, text, sizes, anchors, tail, piece)
+    if rows <= broadcast_rows and sum(r["bytes"] for r in measured) <= broadcast_bytes:
+        met = found.join(F.broadcast(entries), "gram")
     else:
-        candidates = _with_texts(_shuffled_candidates(exploded, filed, keys), texts, keys, text)
-    # Coalesced so that no null check on the text is derived and evaluated beforehand.
-    holds = F.coalesce(F.contains(F.col(text), F.col("pattern")), F.lit(False))
-    confirmed = candidates.where(holds & _first_piece(text))
-    count = occurrences(F.col(text), F.col("pattern"), F.col("overlap"))
-    kept = [text] if keep_text else []
-    return confirmed.select(*keys, *kept, "pid", "pattern", "weight", count.alias("hits"))
-
-
-def _text_grams(texts: DataFrame, keys: list[str], text: str, sizes: list[int]) -> DataFrame:
-    """(keys, text, its digest, piece, is_long, gram): the distinct grams of each piece of a text.
-
-    A text is cut into pieces, overlapping by one character less than the longest gram,
-    so that the gram array of a very long text stays small.
-    """
-    ahead = PIECE + max(sizes, default=1) - 1
-    cut = f"(?s)(?=(.{{1,{ahead}}})).{{1,{PIECE}}}"
-    sized = texts.select(*keys, text, F.md5(F.col(text)).alias("_text"), (F.char_length(text) > PIECE).alias("is_long"))
-    pieces = F.when(F.col("is_long"), F.regexp_extract_all(F.col(text), F.lit(cut), F.lit(1))).otherwise(F.array(text))
-    cut_texts = sized.select(*keys, text, "_text", "is_long", F.posexplode(pieces).alias("piece", "_part"))
-    per_size = F.array(*[grams(F.col("_part"), k) for k in sizes]).cast("array<array<string>>")
-    return cut_texts.select(*keys, text, "_text", "piece", "is_long", F.explode(F.flatten(per_size)).alias("gram"))
+        sample = texts.where(F.pmod(F.xxhash64(text), F.lit(SAMPLE)) == 0)
+        met = _salted(found, entries, candidates(sample, keys, text, sizes, anchors, tail, piece).select("gram"), keys)
+    matching = F.filter("tails", lambda tail: F.startswith(tail, F.col("rest")))
+    hits = F.when(F.col("rest").isNull(), F.col("starts")).otherwise(F.size(matching)).cast("bigint").alias("hits")
+    met = met.select(*keys, "pid", "pattern", "weight", "whole", "overlap", hits).where("hits > 0")
+    if longest <= ANCHOR + tail:
+        return met.select(*keys, "pid", "pattern", "weight", "hits")
+    short = met.where("whole").select(*keys, "pid", "pattern", "weight", "hits")
+    return short.unionByName(_compared(met.where("NOT whole"), texts, keys, text))
 
 
-def _first_piece(text: str) -> Column:
-    """Whether the piece is the one the anchor first starts in.
+def _salted(found: DataFrame, entries: DataFrame, sample: DataFrame, keys: list[str]) -> DataFrame:
+    """Candidates beside their patterns, by a shuffle.
 
-    Several pieces of a long text may hold the anchor; this keeps one row per text and
-    pattern without a shuffle.  The anchor is taken from the pattern, not from the joined
-    gram: Catalyst would otherwise test every gram of a text before the join.
+    A gram that holds more than one in ``HEAVY`` of the sampled candidates is dealt out over
+    as many parts as its share asks for, and its patterns are copied to each; there
+    are fewer than ``HEAVY`` such grams.
     """
-    anchor = F.substring(F.col("pattern"), F.col("at"), F.char_length("gram"))
-    start = F.instr(F.col(text), anchor) - 1
-    return F.when(F.col("is_long"), F.floor(start / PIECE) == F.col("piece")).otherwise(True)
+    counted = sample.groupBy("gram").count().cache()
+    total = counted.agg(F.sum("count")).first()[0] or 0
+    parts = F.ceil(F.col("count") * HEAVY / F.lit(max(total, 1))).cast("int").alias("_parts")
+    heavy = counted.where(F.col("count") * HEAVY > total).select("gram", parts).collect()
+    counted.unpersist()
+    salts = {r["gram"]: r["_parts"] for r in heavy if r["_parts"] > 1}
+    known = F.create_map(*[F.lit(v).cast("bigint") if k % 2 == 0 else F.lit(v) for k, v in enumerate(x for pair in salts.items() for x in pair)]) if salts else None
+    n = F.coalesce(known[F.col("gram")], F.lit(1)) if salts else F.lit(1)
+    left = found.withColumn("_salt", F.pmod(F.xxhash64(*keys), n).cast("int"))
+    right = entries.withColumn("_salt", F.explode(F.sequence(F.lit(0), n - 1)))
+    return left.join(right, ["gram", "_salt"]).drop("_salt")
 
 
-def _with_texts(candidates: DataFrame, texts: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """Candidates beside their texts again, which a null or repeated key does not lose or multiply.
+def _compared(met: DataFrame, texts: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """Hits of patterns longer than their tails, counted in the texts themselves.
 
     Rows equal in key and text bring the same candidates, which are taken once and meet
-    each of these rows.
-    """
-    ids = [*keys, "_text"]
-    names = [f"_candidate_{i}" for i in range(len(ids))]
-    once_each = candidates.distinct().withColumnsRenamed(dict(zip(ids, names, strict=True)))
-    rows = texts.select(*keys, text, F.md5(F.col(text)).alias("_text"))
-    same = [F.col(a).eqNullSafe(F.col(b)) for a, b in zip(ids, names, strict=True)]
-    return rows.join(once_each, same).drop("_text", *names)
-
-
-def _shuffled_candidates(exploded: DataFrame, filed: DataFrame, keys: list[str]) -> DataFrame:
-    """Candidates without broadcasting the dictionary.
-
-    Only keys and grams are shuffled, not texts.  A frequent gram would send a large
-    share of all texts to one task, so grams are salted and each anchor is copied
-    once per salt.
+    each of these rows; a null or repeated key loses and multiplies nothing.
     """
-    salt = F.pmod(F.xxhash64(*keys, "_text"), F.lit(SALTS)).cast("int")
-    left = exploded.select(*keys, "_text", "piece", "is_long", "gram", salt.alias("salt"))
-    right = filed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return left.join(right, ["gram", "salt"]).drop("salt")
+    names = [f"_candidate_{i}" for i in range(len(keys))]
+    once_each = met.select(*keys, "pid", "pattern", "weight", "overlap").distinct()
+    once_each = once_each.withColumnsRenamed(dict(zip(keys, names, strict=True)))
+    same = [F.col(a).eqNullSafe(F.col(b)) for a, b in zip(keys, names, strict=True)]
+    # Coalesced so that no null check on the text is derived and evaluated beforehand.
+    holds = F.coalesce(F.contains(F.col(text), F.col("pattern")), F.lit(False))
+    rows = texts.select(*keys, text).join(once_each, same).where(holds)
+    count = occurrences(F.col(text), F.col("pattern"), F.col("overlap"))
+    return rows.select(*keys, "pid", "pattern", "weight", count.alias("hits"))

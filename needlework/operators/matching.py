@@ -4,7 +4,7 @@ Two physical forms with equal results:
 
 * up to ``EXPRESSION_PATTERNS`` entries the dictionary becomes a constant and the scan
   a narrow projection: no join, no shuffle, text never moves;
-* larger dictionaries go through ``anchored_hits``, an equi-join on short substrings,
+* larger dictionaries go through ``anchored_hits``, an equi-join on short byte strings,
   whose cost per text does not grow with the number of patterns.
 
 Texts need a key (one column name or several) and a normalized text column.  The key may
@@ -188,10 +188,9 @@ def match_positions(
     """
     keys, patterns = _key_list(key), small_patterns(dictionary)
     if patterns is None:
-        hits = anchored_hits(texts, dictionary, keys, text, keep_text=True)
         longest = dictionary.agg(F.max(F.char_length("pattern"))).first()[0] or 1
-        chunks = _chunks(hits, longest, text, [*keys, "pid", "pattern"])
-        found = chunks.where(F.contains("chunk", "pattern"))
+        chunks = _chunks(texts, longest, text, keys)
+        found = anchored_hits(chunks, dictionary, [*keys, "chunk", "base"], "chunk")
     else:
         longest = max((len(p.pattern) for p in patterns), default=1)
         chunks = _chunks(texts, longest, text, keys)

@@ -140,7 +140,7 @@ def log_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return query_log(spark, sf_dir).select(F.col("qid").alias("pid"), text.alias("pattern"))
 
 
-def word_dictionary(spark: SparkSession, sf_dir: str, least: int = 8) -> DataFrame:
+def word_dictionary(spark: SparkSession, sf_dir: str, least: int = 1) -> DataFrame:
     """(pid, pattern, weight): the distinct words of ``least`` letters or more in the messages.
 
     Thousands of patterns even on small tables.  The pid is taken from the hash of the

@@ -1,6 +1,7 @@
 import functools
 import random
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from helpers import brute_distinct, brute_occurrences, dictionary, occurrences, texts
 from needlework.functions import hits
-from needlework.operators import evaluate, matching
+from needlework.operators import anchored, evaluate, matching
 from needlework.operators.anchored import anchored_hits
 
 ENTRIES = [
@@ -152,14 +153,14 @@ def test_several_key_columns(spark, form):
 
 
 @pytest.mark.parametrize("broadcast_rows", [10**6, 0])
-def test_long_texts_are_cut_into_pieces(spark, monkeypatch, broadcast_rows):
-    monkeypatch.setattr("needlework.operators.anchored.PIECE", 9)
+@pytest.mark.parametrize("tail", [64, 2])
+def test_long_texts_are_cut_into_pieces(spark, broadcast_rows, tail):
     rng = random.Random(3)
     values = ["".join(rng.choice("abcé-") for _ in range(rng.randint(0, 80))) for _ in range(40)]
     entries = [(0, "ab", 1), (1, "abc", 1), (2, "-é-", 1), (3, "c", 1), (4, "bcab-", 1), (5, "abcabcabca", 1)]
     values += ["x" * 30 + "abcabcabcabca", "abcabcabcabcabcabcabcabc"]
     found = anchored_hits(
-        texts(spark, values), dictionary(spark, entries), ["qid"], "normalized", broadcast_rows=broadcast_rows
+        texts(spark, values), dictionary(spark, entries), ["qid"], "normalized", broadcast_rows, tail=tail, piece=9
     ).collect()
     want = {(i, k): len(occurrences(x, p)) for i, x in enumerate(values) for k, p, _ in entries if p in x}
     assert len(found) == len(want)
@@ -213,3 +214,43 @@ def test_positions_in_repetitive_texts(spark, form):
     assert {(r.qid, r.pid): r.n for r in got.groupBy("qid", "pid").agg(F.count("*").alias("n")).collect()} == {
         (i, pid): 4095 + pid for i in range(3) for pid in (0, 1)
     }
+
+
+def test_filter_has_no_false_negatives_and_few_false_positives(spark):
+    anchors = spark.range(5000).selectExpr("id * 7919 + 13 AS gram")
+    found = anchored.filter_of(anchors.repartition(3), 5000)
+    own = (np.arange(5000) * 7919 + 13).astype(np.uint64)
+    assert found.passes(own).all()
+    assert found.passes(own + np.uint64(1)).mean() < 0.03
+
+
+def test_only_candidates_leave_the_scan(spark):
+    rng = random.Random(5)
+    values = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(400)) for _ in range(50)]
+    entries = [(i, v[k : k + 9], 1) for i, v in enumerate(values) for k in (3, 90)]
+    filed = anchored.filed(dictionary(spark, entries))
+    sizes = [r[0] for r in filed.selectExpr("int(shiftright(gram, 56))").distinct().collect()]
+    rows = anchored.candidates(texts(spark, values), ["qid"], "normalized", sizes, anchored.filter_of(filed.select("gram"), len(entries)))
+    strangers = rows.join(filed, "gram", "left_anti").count()
+    assert sizes == [8] and rows.count() - strangers >= len(entries) and strangers < 0.03 * sum(map(len, values))
+
+
+def test_a_gram_in_every_text_is_dealt_out(spark):
+    values = [f"common prefix {i} common pr" for i in range(3000)]
+    entries = [(i, f"common prefix {i} ", 1) for i in range(40)] + [(90 + i, f"rare{i}", 1) for i in range(20)]
+    t, d = texts(spark, values), dictionary(spark, entries)
+    found = {(r.qid, r.pid): r.hits for r in anchored_hits(t, d, ["qid"], "normalized", broadcast_rows=0).collect()}
+    assert found == {(i, i): 1 for i in range(40)}
+    entries = anchored.filed(d)
+    grams = t.repartition(3).select("qid", F.lit(entries.where("pid = 0").first()["gram"]).alias("gram"))
+    settings_ = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "8"}
+    before = {k: spark.conf.get(k) for k in settings_}
+    for k, v in settings_.items():
+        spark.conf.set(k, v)
+    try:
+        met = anchored._salted(grams, entries, grams.select("gram"), ["qid"])
+        sizes = met.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(sizes) == 40 * 3000 and len(sizes) == 8 and max(sizes) < 2 * sum(sizes) / len(sizes)

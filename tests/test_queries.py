@@ -15,6 +15,8 @@ from needlework.tables import spread
 SF_DIR = "/root/testdata/sf0.001"
 TABLES = "customer part events documents pages conversations".split()
 QUERIES, SQL = contract.queries(), contract.oracle_sql()
+#: The queries of the training-data operators, where present, have their own tests beside them.
+OTHERS = {*contract.llm.QUERIES, "pipeline"} if contract.llm else set()
 
 pytestmark = pytest.mark.skipif(not Path(SF_DIR).exists(), reason="test tables not present")
 
@@ -28,10 +30,10 @@ def db():
 
 
 def test_every_query_has_sql():
-    assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) - OTHERS <= set(SQL) <= set(QUERIES)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_same_rows_as_sql(spark, db, name):
     df = QUERIES[name](spark, SF_DIR)
     columns = sorted(df.columns)
