@@ -10,9 +10,9 @@ Among these the n-grams have one global order, rare ones first.  The order is cu
 fragments and every set with it, so a set is a few segments, one per fragment.  Pairs
 that share one of their first n-grams (by the sizes of the sets no pair can link
 otherwise, and what follows must still suffice) are counted fragment by fragment; the
-sum of a pair's partial overlaps decides.  Of sets that meet under an n-gram, each is
-first tried against the one chosen set of its size there; after that only pairs between
-different components are left to be counted, so a crowd of near copies costs its
+sum of a pair's partial overlaps decides.  Where many sets meet under an n-gram, each is
+first tried against one chosen set there, turn by turn; after that only pairs between
+different components are left to be counted, so a crowd of near copies costs about its
 number, not its square.
 """
 
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from needlework.llm.arrow import column, lower_texts, small_batches
-from needlework.llm.components import components
+from needlework.llm.components import components, stars
 from needlework.llm.hot import lookup
 from needlework.llm.store import stored
 
@@ -128,7 +129,7 @@ def shared_counts(docs: DataFrame, how: Join = Join()) -> DataFrame:
                 bucket = (grams >> np.uint64(64 - bits)).astype(np.int64)
                 low = (grams >> np.uint64(32 - bits)).astype(np.uint32)
                 begin = np.flatnonzero(np.diff(bucket, prepend=-1))
-                end = np.append(begin[1:], len(bucket))
+                end = np.append(begin[1:], len(bucket))[: len(begin)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([-1, *bucket[begin].tolist()], pa.int32()),
@@ -146,7 +147,7 @@ def shared_counts(docs: DataFrame, how: Join = Join()) -> DataFrame:
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, rows in same_values(batches, "bucket"):
             if bucket == -1:
-                yield rows.drop_columns(["bucket", "low", "at"]).append_column("count", pa.nulls(rows.num_rows, pa.binary()))
+                yield counted(*(column(rows, c).to_pylist() for c in ("batch", "doc_id", "n", "here")), [None] * rows.num_rows)
                 continue
             low = [np.frombuffer(x, dtype=np.uint32) for x in column(rows, "low").to_pylist()]
             at = [np.frombuffer(x, dtype=np.uint16) for x in column(rows, "at").to_pylist()]
@@ -161,12 +162,9 @@ def shared_counts(docs: DataFrame, how: Join = Join()) -> DataFrame:
             for a, own in zip(at, np.split(twice, np.cumsum([len(x) for x in low])[:-1]), strict=True):
                 found = a[own & (a != SEVERAL)]
                 counts.append(np.bincount(found).astype(np.uint32).tobytes() if len(found) else None)
-            some = pa.array([c is not None for c in counts])
-            lists = [pa.nulls(rows.num_rows, pa.list_(t)) for t in (pa.int64(), pa.int32(), pa.int32())]
-            found = pa.RecordBatch.from_arrays(
-                [column(rows, "batch"), *lists, pa.array(counts, pa.binary())], names=["batch", "doc_id", "n", "here", "count"]
-            )
-            yield found.filter(some)
+            nothing = [None] * rows.num_rows
+            found = counted(column(rows, "batch").to_pylist(), nothing, nothing, nothing, counts)
+            yield found.filter(pa.array([c is not None for c in counts]))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The row that holds a batch's documents comes last in the batch."""
@@ -195,6 +193,12 @@ def shared_counts(docs: DataFrame, how: Join = Join()) -> DataFrame:
     return stored(summed.mapInArrow(add, "doc_id bigint, n bigint, shared bigint"))
 
 
+def counted(*columns: list) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary()]
+    arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+    return pa.RecordBatch.from_arrays(arrays, names=["batch", "doc_id", "n", "here", "count"])
+
+
 def same_values(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[tuple[int, pa.RecordBatch]]:
     """All rows of one value together, for rows sorted by it; those of -1 as they come."""
     held: list[pa.RecordBatch] = []
@@ -282,7 +286,7 @@ def postings_of(ordered: DataFrame, how: Join) -> DataFrame:
     first = F.slice("grams", F.lit(1), F.greatest(F.lit(0), size - how.own(F.col("n")).cast("int") + 1))
     rows = rows.select("sid", "n", (F.col("n") - size).alias("before"), F.posexplode(first).alias("k", "g"))
     at = (F.col("before") + F.col("k")).alias("at")
-    rows = rows.select(F.col("g.gram").alias("gram"), "sid", "n", at)
+    rows = rows.select(F.col("g.gram").alias("gram"), "sid", "n", "before", at)
     return stored(rows.withColumn("short", F.col("at") <= F.col("n") - how.overlap(F.col("n"), F.col("n"))))
 
 
@@ -294,38 +298,75 @@ def may_link(how: Join) -> Column:
     return first & F.col("x.short") & (F.col("x.n") * 100 >= F.col("y.n") * how.percent) & (rest >= need)
 
 
-PAIR = ("x.sid as a", "y.sid as b", "x.n as n", "y.n as m")
+PAIR = ("x.sid as a", "y.sid as b", "x.n as n", "y.n as m", "x.root as ra", "y.root as rb")
 
 
 def linked(pairs: DataFrame, segments: DataFrame, how: Join) -> DataFrame:
-    """The pairs (a, b, n, m) whose overlaps, counted per fragment and summed, suffice."""
+    """The pairs (a, b) whose overlaps, counted per fragment and summed, suffice, with their components (ra, rb)."""
     left = segments.select(F.col("sid").alias("a"), "fragment", F.col("part").alias("own"))
     right = segments.select(F.col("sid").alias("b"), "fragment", F.col("part").alias("other"))
-    partial = pairs.join(left, "a").join(right, ["b", "fragment"])
-    partial = partial.select("a", "b", "n", "m", F.size(F.array_intersect("own", "other")).alias("common"))
-    summed = partial.groupBy("a", "b", "n", "m").agg(F.sum("common").alias("common"))
-    return summed.where("100 * common >= %d * (n + m - common)" % how.percent).select("a", "b")
-
-
-def links_of(sets: DataFrame, how: Join) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b) between sets whose components are those of all pairs that link, in two parts."""
-    total = sets.agg(F.sum("n")).first()[0] or 0
-    ordered = in_order(sets, total)
-    segments, postings = segments_of(ordered, how), postings_of(ordered, how)
-    # each set against the smallest of about its size under the same n-gram
-    band = F.floor(F.log("n") / F.log(F.lit(1.25))).alias("band")
-    chosen = F.min(F.struct("n", "sid", "at", "short")).alias("x")
-    heads = postings.groupBy("gram", band).agg(chosen, F.count("*").alias("rows"))
-    met = lookup(postings.withColumn("band", band), heads, ["gram", "band"], "rows", postings.count())
-    y = met.select("x", F.struct("n", "sid", "at", "short").alias("y"))
-    first = stored(linked(y.where(may_link(how)).selectExpr(*PAIR).distinct(), segments, how))
-    nodes = sets.select(F.col("sid").alias("node"), F.col("sid").alias("doc_id"))
-    place = components(first, nodes).select(F.col("node").alias("sid"), "root")
-    placed = stored(postings.join(place, "sid"))
-    x, y = placed.alias("x"), placed.alias("y")
-    apart = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.root") != F.col("y.root"))
-    rest = x.join(y, apart & may_link(how)).selectExpr(*PAIR).distinct()
-    return first, stored(linked(rest, segments, how))
+    partial = pairs.distinct().join(left, "a").join(right, ["b", "fragment"])
+    pair = ["a", "b", "n", "m", "ra", "rb"]
+    partial = partial.select(*pair, F.size(F.array_intersect("own", "other")).alias("common"))
+    summed = partial.groupBy(*pair).agg(F.sum("common").alias("common"))
+    return summed.where("100 * common >= %d * (n + m - common)" % how.percent).select("a", "b", "ra", "rb")
+
+
+def tried(postings: DataFrame, total: int, turn: int) -> DataFrame:
+    """Pairs x, y of sets in different components: every set, and the one chosen among all under the same n-gram.
+
+    At first the set with the fewest n-grams of its own is chosen, as what the others were
+    copied from has none; then, turn by turn, others by a hash.
+    """
+    rank = F.col("before") if turn == 0 else F.xxhash64("sid", F.lit(turn))
+    row = F.struct("n", "sid", "at", "short", "root").alias("row")
+    heads = postings.groupBy("gram").agg(F.min_by(row, F.struct(rank, "sid")).alias("head"), F.count("*").alias("rows"))
+    met = lookup(postings.select("gram", row), heads, ["gram"], "rows", total)
+    met = met.where(F.col("row.root") != F.col("head.root"))
+    return met.select(F.least("row", "head").alias("x"), F.greatest("row", "head").alias("y"))
+
+
+def merged(postings: DataFrame, links: DataFrame, total: int) -> DataFrame:
+    """The postings with their components joined by new links; stored."""
+    tops = stars(links.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+    counts = postings.groupBy("root").agg(F.count("*").alias("rows"))
+    places = counts.join(tops.select(F.col("a").alias("root"), F.col("b").alias("_top")), "root", "left")
+    moved = lookup(postings, places, ["root"], "rows", total)
+    return stored(moved.withColumn("root", F.coalesce("_top", "root")).drop("_top"))
+
+
+def apart(postings: DataFrame) -> int:
+    """How often two sets of different components still meet under an n-gram."""
+    each = postings.groupBy("gram", "root").agg(F.count("*").cast("decimal(38,0)").alias("rows"))
+    pairs = each.groupBy("gram").agg((F.pow(F.sum("rows").cast("double"), 2) - F.sum(F.pow(F.col("rows").cast("double"), 2))).alias("pairs"))
+    return int((pairs.agg(F.sum("pairs")).first()[0] or 0) / 2)
+
+
+#: Turns after which the pairs still apart are counted one by one, however many.
+TURNS = 8
+
+
+def links_of(sets: DataFrame, how: Join) -> DataFrame:
+    """Links (a, b) between sets whose components are those of all pairs that link.
+
+    Turns of trying all sets against chosen ones go on while they bring together at least
+    a third of the pairs still apart; these are then all counted.
+    """
+    ordered = in_order(sets, sets.agg(F.sum("n")).first()[0] or 0)
+    segments, postings = segments_of(ordered, how), postings_of(ordered, how).withColumn("root", F.col("sid"))
+    total, found, left = postings.count(), [], apart(postings)
+    for turn in range(TURNS):
+        if left <= total:
+            break
+        found.append(stored(linked(tried(postings, total, turn).where(may_link(how)).selectExpr(*PAIR), segments, how)))
+        postings, before = merged(postings, found[-1], total), left
+        left = apart(postings)
+        if 3 * left > 2 * before:
+            break
+    x, y = postings.alias("x"), postings.alias("y")
+    rest = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.root") != F.col("y.root")) & may_link(how))
+    found.append(stored(linked(rest.selectExpr(*PAIR), segments, how)))
+    return reduce(DataFrame.unionByName, found).select("a", "b")
 
 
 def jaccard_classes(docs: DataFrame, how: Join = Join()) -> DataFrame:
@@ -349,8 +390,7 @@ def jaccard_classes(docs: DataFrame, how: Join = Join()) -> DataFrame:
         each.where("n > 0").groupBy(*kinds).agg(F.min("doc_id").alias("doc_id"), F.min("rid").alias("sid"), F.count("*").alias("rows"))
     )
     sets = stored(each.join(equal.select(F.col("sid").alias("rid")), "rid").select(F.col("rid").alias("sid"), "n", "grams"))
-    first, rest = links_of(sets, how)
-    found = components(first.unionByName(rest), equal.select(F.col("sid").alias("node"), "doc_id"))
+    found = components(links_of(sets, how), equal.select(F.col("sid").alias("node"), "doc_id"))
     labels = equal.join(found.select(F.col("node").alias("sid"), "label"), "sid").select(*kinds, "label", "rows")
     some = lookup(each.where("n > 0"), labels, kinds, "rows", each.count()).select("doc_id", "n", "label")
     none = each.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("label"))
