@@ -28,6 +28,7 @@ from needlework.functions.hits import (
 )
 from needlework.operators.anchored import anchored_hits
 from needlework.operators.dictionary import first_ids, merged_weights
+from needlework.tables import kept
 
 CHUNK = 4096
 #: Starts that are added up one by one; longer lists are added up block by block.
@@ -281,3 +282,42 @@ def implications(dictionary: DataFrame) -> DataFrame:
     return hits.where(F.col("pid") != F.col("outer_pid")).select(
         F.col("outer_pid").alias("pid"), F.col("pid").alias("implied_pid")
     )
+
+
+def implication_steps(implied: DataFrame) -> DataFrame:
+    """(pid, implied_pid, steps): the longest chain of implications from one pattern to the other.
+
+    ``implied`` holds all implications, so a chain exists wherever a pair does.  Chains
+    are joined end to end, which doubles their length; after as many rounds as the
+    logarithm of the longest one nothing changes any more.  Each round is written and read again.
+    """
+    steps = kept(implied.select("pid", "implied_pid", F.lit(1).cast("bigint").alias("steps")), "steps")
+    before = None
+    while (now := steps.agg(F.count("*"), F.sum("steps")).first()) != before:
+        before = now
+        first = steps.select("pid", F.col("implied_pid").alias("middle"), F.col("steps").alias("first"))
+        then = steps.select(F.col("pid").alias("middle"), "implied_pid", "steps")
+        longer = first.join(then, "middle").select("pid", "implied_pid", (F.col("first") + F.col("steps")).alias("steps"))
+        steps = kept(steps.unionByName(longer).groupBy("pid", "implied_pid").agg(F.max("steps").alias("steps")), "steps")
+    return steps
+
+
+def direct_implications(dictionary: DataFrame) -> DataFrame:
+    """(pid, implied_pid): the implications that no third pattern lies between."""
+    return implication_steps(implications(dictionary)).where("steps = 1").select("pid", "implied_pid")
+
+
+def implication_order(dictionary: DataFrame) -> DataFrame:
+    """(pid, depth, n_direct, n_implied, is_root) of every distinct pattern (lowest pid each).
+
+    depth is the longest chain of implications below a pattern; a root is implied by none.
+    """
+    steps = implication_steps(implications(dictionary))
+    below = steps.groupBy("pid").agg(
+        F.max("steps").alias("depth"), F.count_if(F.col("steps") == 1).alias("n_direct"), F.count("*").alias("n_implied")
+    )
+    above = steps.select(F.col("implied_pid").alias("pid")).distinct().withColumn("implied", F.lit(True))
+    entries = first_ids(dictionary).where(F.col("pattern") != "").select("pid")
+    zero = F.lit(0).cast("bigint")
+    counts = [F.coalesce(c, zero).alias(c) for c in ("depth", "n_direct", "n_implied")]
+    return entries.join(below, "pid", "left").join(above, "pid", "left").select("pid", *counts, F.col("implied").isNull().alias("is_root"))

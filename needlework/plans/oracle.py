@@ -89,6 +89,12 @@ OCC_SCORES = """occ_scores AS (SELECT t.id, coalesce(sum(weight * n), 0)::BIGINT
   FROM texts t LEFT JOIN counts c ON t.id = c.id GROUP BY t.id)"""
 
 
+CHAINS = """firsts AS (SELECT pattern, min(pid) AS pid FROM dict GROUP BY pattern),
+implied AS (SELECT a.pid, b.pid AS implied_pid FROM firsts a JOIN firsts b ON contains(a.pattern, b.pattern) AND a.pid <> b.pid),
+chains(pid, implied_pid, steps) AS (SELECT pid, implied_pid, 1 FROM implied
+  UNION SELECT c.pid, i.implied_pid, steps + 1 FROM chains c JOIN implied i ON c.implied_pid = i.pid)"""
+
+
 def _with(*parts: str, select: str) -> str:
     return "WITH RECURSIVE " + ",\n".join(parts) + "\n" + select
 
@@ -336,6 +342,19 @@ LEFT JOIN rules ON pattern = needle""",
         "firsts AS (SELECT pattern, min(pid) AS pid FROM dict GROUP BY pattern)",
         select="""SELECT a.pid, b.pid AS implied_pid FROM firsts a JOIN firsts b
 ON contains(a.pattern, b.pattern) AND a.pid <> b.pid""",
+    ),
+    "dictionary_direct_implications": _with(
+        PARTS,
+        CHAINS,
+        select="SELECT pid, implied_pid FROM chains GROUP BY pid, implied_pid HAVING max(steps) = 1",
+    ),
+    "dictionary_implication_order": _with(
+        PARTS,
+        CHAINS,
+        "longest AS (SELECT pid, implied_pid, max(steps) AS steps FROM chains GROUP BY pid, implied_pid)",
+        select="""SELECT pid, coalesce(max(steps), 0)::BIGINT AS depth, count(*) FILTER (steps = 1) AS n_direct,
+  count(steps) AS n_implied, pid NOT IN (SELECT implied_pid FROM longest) AS is_root
+FROM firsts LEFT JOIN longest USING (pid) WHERE pattern <> '' GROUP BY pid""",
     ),
     "dictionary_duplicates": _with(
         PARTS,

@@ -249,6 +249,16 @@ def dictionary_implications(spark, sf_dir):
     return matching.implications(inputs.part_dictionary(spark, sf_dir))
 
 
+@query
+def dictionary_direct_implications(spark, sf_dir):
+    return matching.direct_implications(inputs.part_dictionary(spark, sf_dir))
+
+
+@query
+def dictionary_implication_order(spark, sf_dir):
+    return matching.implication_order(inputs.part_dictionary(spark, sf_dir))
+
+
 @query
 def dictionary_duplicates(spark, sf_dir):
     return dicts.duplicates(inputs.part_dictionary(spark, sf_dir))

@@ -36,9 +36,26 @@ def spread(df: DataFrame) -> DataFrame:
 def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared folder of ``spark.checkpoint.dir``.
 
-    Where the session names none it lies under the warehouse, which all executors share too.
+    Where the session names none it lies under the warehouse.  That must not be a folder of
+    one machine's own, unless the session has a single machine.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not shared:
-        shared = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        if warehouse.startswith(("file:", "/")) and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        shared = f"{warehouse}/_work"
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """The same rows, written to a work folder and read again: later steps do not repeat the earlier ones."""
+    folder = work_dir(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def removed(spark: SparkSession, folder: str) -> None:
+    """Deletes a work folder."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -254,3 +254,15 @@ def test_a_gram_in_every_text_is_dealt_out(spark):
         for k, v in before.items():
             spark.conf.set(k, v)
     assert sum(sizes) == 40 * 3000 and len(sizes) == 8 and max(sizes) < 2 * sum(sizes) / len(sizes)
+
+
+def test_chains_of_implications(spark):
+    n = 200
+    entries = [(1000 - k, "a" * k, 1) for k in range(1, n + 1)] + [(2000, "b", 1), (2001, "ba" + "a" * 50, 1), (2002, "b", 1)]
+    d = dictionary(spark, entries)
+    rows = {r.pid: r for r in matching.implication_order(d).collect()}
+    assert [rows[1000 - k].depth for k in range(1, n + 1)] == list(range(n))
+    assert rows[2001].depth == 51 and rows[2001].n_direct == 2 and rows[2001].n_implied == 52
+    assert {pid for pid, r in rows.items() if r.is_root} == {1000 - n, 2001} and set(rows) == {e[0] for e in entries} - {2002}
+    direct = {(r.pid, r.implied_pid) for r in matching.direct_implications(d).collect()}
+    assert direct == {(1000 - k, 1000 - k + 1) for k in range(2, n + 1)} | {(2001, 2000), (2001, 1000 - 51)}
