@@ -563,4 +563,21 @@ FROM (SELECT algorithm, risk, count(*) AS timings FROM timings GROUP BY ALL),
         select="""SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, computed, count(*) AS n
 FROM assessed GROUP BY ALL""",
     ),
+    "stream_final_windows": _with(
+        *_LOG_SCORES,
+        ASSESSED,
+        select="""SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, computed, count(*) AS n
+FROM assessed GROUP BY ALL""",
+    ),
+    "stream_distinct_rows": """SELECT event_type, strftime(date_trunc('day', ts), '%Y-%m-%d') AS day,
+  count(*) AS n, sum(event_id)::BIGINT AS ids FROM events GROUP BY ALL""",
+    "stream_versioned_score": _with(
+        *_LOG_SCORES,
+        "middle AS (SELECT (epoch(min(ts))::BIGINT + epoch(max(ts))::BIGINT) / 2.0 AS mid FROM events)",
+        f"""assessed AS (SELECT ts, s AS score, {_risk("s")} AS computed FROM (
+  SELECT ts, CASE WHEN epoch_us(ts) / 1000000.0 >= mid THEN 2 * score ELSE score END AS s
+  FROM log JOIN scores ON qid = id, middle))""",
+        select="""SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, computed, count(*) AS n,
+  sum(score)::BIGINT AS score FROM assessed GROUP BY ALL""",
+    ),
 }

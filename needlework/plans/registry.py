@@ -13,7 +13,7 @@ from needlework.operators import corpus, evaluate, matching, measurements
 from needlework.operators import dictionary as dicts
 from needlework.plans import inputs
 from needlework.sources import patterns, query_log, reports, sinks, timings
-from needlework.streaming import scoring
+from needlework.streaming import scoring, versions, windows
 from needlework.tables import spread, work_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -504,3 +504,51 @@ def stream_risk_windows(spark, sf_dir):
     latest = scoring.latest_counts(spark, f"{path}/counts")
     day = F.date_from_unix_date((F.unix_timestamp("window_start") / 86400).cast("int"))
     return latest.select(day.cast("string").alias("day"), "computed", "n")
+
+
+def _event_files(spark, sf_dir, path, copies=1):
+    """The events as a stream of files that are out of order, each ``copies`` times; two files a micro-batch."""
+    instant = F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col("ts")).cast("timestamp")
+    events = inputs.table(spark, sf_dir, "events").select("event_id", "event_type", instant.alias("ts"))
+    for copy in range(copies):
+        events.repartition(10, F.xxhash64("event_id")).write.mode("append").parquet(path)
+    return scoring.read_stream(spark, path, events.schema, files_per_batch=2)
+
+
+def _day(column):
+    return F.date_from_unix_date((F.unix_timestamp(column) / 86400).cast("int")).cast("string").alias("day")
+
+
+@query
+def stream_final_windows(spark, sf_dir):
+    path = work_dir(spark, "stream-final")
+    patterns_ = matching.small_patterns(dicts.standard_dictionary(spark))
+    assessed = scoring.stream_score(inputs.label_events(_event_files(spark, sf_dir, f"{path}/in")), patterns_)
+    kept = assessed.select("qid", "ts", "computed")
+    windows.run_final_windows(kept, f"{path}/out", f"{path}/checkpoint", delay="3 days").awaitTermination()
+    return windows.all_counts(spark, f"{path}/out").select(_day("window_start"), "computed", "n")
+
+
+@query
+def stream_distinct_rows(spark, sf_dir):
+    path = work_dir(spark, "stream-distinct")
+    sent = _event_files(spark, sf_dir, f"{path}/in", copies=2)
+    once_each = windows.distinct_rows(sent, ["event_id"], delay="3650 days")
+    scoring.run_to_files(once_each, f"{path}/rows", f"{path}/checkpoint").awaitTermination()
+    rows = spark.read.schema(once_each.schema).parquet(f"{path}/rows")
+    return rows.groupBy("event_type", _day("ts")).agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+
+
+@query
+def stream_versioned_score(spark, sf_dir):
+    """Two versions of the dictionary; from the middle of the events on all weights are doubled."""
+    path = work_dir(spark, "stream-versions")
+    log = inputs.label_events(_event_files(spark, sf_dir, f"{path}/in"))
+    middle = spark.read.parquet(f"{path}/in").agg(F.timestamp_seconds((F.unix_timestamp(F.min("ts")) + F.unix_timestamp(F.max("ts"))).cast("bigint") / 2).alias("at"))
+    words = dicts.standard_dictionary(spark).select("pid", "pattern", "weight")
+    words.withColumn("valid_from", F.timestamp_seconds(F.lit(0))).write.parquet(f"{path}/versions")
+    later = words.withColumn("weight", F.col("weight") * 2).join(F.broadcast(middle)).withColumnRenamed("at", "valid_from")
+    later.select("pid", "pattern", "weight", "valid_from").write.mode("append").parquet(f"{path}/versions")
+    versions.run_versioned_score(log, f"{path}/versions", f"{path}/rows", f"{path}/checkpoint").awaitTermination()
+    scores = versions.versioned_scores(spark, f"{path}/rows")
+    return scores.groupBy(_day("ts"), "computed").agg(F.count("*").alias("n"), F.sum("score").alias("score"))
