@@ -25,30 +25,21 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
 
-def parse(text: str, at: int, seen: set[str], ends: list[int]) -> int:
-    """Adds the phrases from ``at`` on to ``seen`` and their ends to ``ends``.
+def parse(text: str, at: int, nodes: dict[tuple[int, str], int], ends: list[int]) -> int:
+    """Adds the phrases from ``at`` on to ``nodes`` and their ends to ``ends``.
 
-    Returns where the last phrase begins that the text's end leaves incomplete.  All
-    prefixes of a phrase are phrases, so the search for the longest known one may start
-    at the length of the last.
+    A phrase is a node, found by the phrase without its last character and that character;
+    nodes are numbered as they come, 0 is the empty phrase.  Returns where the last phrase
+    begins that the text's end leaves incomplete.
     """
-    n, length = len(text), 1
-    while at < n:
-        end = min(at + length, n)
-        if text[at:end] in seen:
-            end += 1
-            while end <= n and text[at:end] in seen:
-                end += 1
-            if end > n:
-                break
-        else:
-            while end - 1 > at and text[at : end - 1] not in seen:
-                end -= 1
-        seen.add(text[at:end])
-        ends.append(end)
-        length = end - at
-        at = end
-    return at
+    put, add, new, node = nodes.setdefault, ends.append, len(nodes) + 1, 0
+    for end, character in enumerate(text[at:] if at else text, at + 1):
+        node = put((node, character), new)
+        if node == new:
+            new += 1
+            node = 0
+            add(end)
+    return max(at, ends[-1]) if ends else at
 
 
 class Powers:
@@ -88,7 +79,7 @@ def signature(text: str, ends: list[int]) -> np.ndarray:
 
 def fingerprint(text: str) -> np.ndarray:
     ends: list[int] = []
-    parse(text, 0, set(), ends)
+    parse(text, 0, {}, ends)
     return signature(text, ends)
 
 
@@ -100,16 +91,16 @@ def edited_text(text: str, following: str) -> str:
 
 def both_fingerprints(text: str, edited: str, common: int) -> tuple[np.ndarray, np.ndarray]:
     """Of two texts with the same first ``common`` code points, parsed once."""
-    seen: set[str] = set()
+    nodes: dict[tuple[int, str], int] = {}
     ends: list[int] = []
-    at = parse(text[:common], 0, seen, ends)
+    at = parse(text[:common], 0, nodes, ends)
     if text == edited:
-        parse(text, at, seen, ends)
+        parse(text, at, nodes, ends)
         found = signature(text, ends)
         return found, found
     own_ends = ends.copy()
-    parse(text, at, seen.copy(), own_ends)
-    parse(edited, at, seen, ends)
+    parse(text, at, nodes.copy(), own_ends)
+    parse(edited, at, nodes, ends)
     return signature(text, own_ends), signature(edited, ends)
 
 
@@ -126,55 +117,80 @@ def as_text(found: np.ndarray) -> str:
 
 
 LOWEST = -(1 << 63)
+#: Ranges of documents for each partition, and bytes of text that a range holds at most on average.
+RANGES, RANGE_BYTES = 16, 128 << 20
+
+
+class Cuts:
+    """Where ranges of (key, tie) begin; a key that is cut several times has its ties, which are hashes, cut evenly."""
+
+    def __init__(self, quantiles: list[float]):
+        keys, times = np.unique(np.array(quantiles, dtype=np.float64), return_counts=True)
+        keys = np.clip(keys, LOWEST, -LOWEST - 1024).astype(np.int64)
+        first = lambda n: [LOWEST + (k << 64) // n for k in range(n)]
+        cuts = sorted({(k, t) for k, n in zip(keys.tolist(), times.tolist(), strict=True) for t in first(n)})
+        self.key = np.array([k for k, _ in cuts], dtype=np.int64)
+        self.tie = np.array([t for _, t in cuts], dtype=np.int64)
+
+    def ranges(self, keys: np.ndarray, ties: np.ndarray) -> np.ndarray:
+        low, high = (np.searchsorted(self.key, keys, side=s) for s in ("left", "right"))
+        for at in np.unique(low[high > low]).tolist():
+            rows = np.flatnonzero((low == at) & (high > low))
+            low[rows] = at + np.searchsorted(self.tie[at : high[rows[0]]], ties[rows], side="right")
+        return low
 
 
 def with_neighbours(docs: DataFrame) -> DataFrame:
     """Ranges of documents by ascending id, each closed by the first of the next range.
 
-    Columns: range, guest (true for rows that belong to another range), key (the id, null
+    Columns: range, guest (true for a row that belongs to another range), key (the id, null
     lowest), tie, doc_id, text.  Rows of one range lie in one partition in the order range,
-    guest, key, tie.  Ranges are cut at quantiles of the ids, several for a partition; only
-    the cuts and the ranges' smallest ids, a number per range, meet at the driver.
+    guest, key, tie.  Ranges are cut at quantiles of the ids, more of them the more text
+    there is, and inside an id that many rows share at even steps of their texts' hashes;
+    only the cuts and the ranges' smallest rows, two numbers per range, meet at the driver.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    steps = [i / (4 * parts) for i in range(1, 4 * parts)]
-    cuts = np.unique(docs.select("doc_id").approxQuantile("doc_id", steps, 1 / (16 * parts)))
-    key = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LOWEST))
-
-    def ranges(keys: np.ndarray) -> np.ndarray:
-        return np.searchsorted(cuts, keys.astype(np.float64), side="right")
+    key = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LOWEST)).alias("key")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    steps = max(RANGES * parts, size // RANGE_BYTES)
+    places = [i / steps for i in range(1, steps)]
+    cuts = Cuts(docs.select(key).approxQuantile("key", places, 1 / (4 * steps)))
+    rows = docs.select(key, F.xxhash64("text").alias("tie"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
 
     def smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = column(batch, "key").to_numpy()
+            keys, ties = (column(batch, c).to_numpy() for c in ("key", "tie"))
             if len(keys):
-                order = np.lexsort((keys, ranges(keys)))
-                nr, first = np.unique(ranges(keys)[order], return_index=True)
-                yield pa.RecordBatch.from_arrays([pa.array(nr), pa.array(keys[order][first])], names=["range", "key"])
-
-    least = docs.select(key.alias("key")).mapInArrow(smallest, "range bigint, key bigint")
-    firsts = sorted(tuple(r) for r in least.groupBy("range").agg(F.min("key").alias("key")).collect())
-    before = {key: firsts[i - 1][0] for i, (_, key) in enumerate(firsts)}
-    first_keys = np.array(sorted(before), dtype=np.int64)
+                place = cuts.ranges(keys, ties)
+                order = np.lexsort((ties, keys, place))
+                nr, first = np.unique(place[order], return_index=True)
+                values = [pa.array(nr), pa.array(keys[order][first]), pa.array(ties[order][first])]
+                yield pa.RecordBatch.from_arrays(values, names=["range", "key", "tie"])
+
+    least = rows.select("key", "tie").mapInArrow(smallest, "range bigint, key bigint, tie bigint")
+    found = least.groupBy("range").agg(F.min(F.struct("key", "tie")).alias("row")).select("range", "row.*").collect()
+    firsts = sorted(tuple(r) for r in found)
+    before = {(key, tie): firsts[i - 1][0] for i, (_, key, tie) in enumerate(firsts)}
+    first_keys = np.unique(np.array([key for key, _ in before], dtype=np.int64))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
-            keys = column(batch, "key").to_numpy()
-            guests = np.flatnonzero(np.isin(keys, first_keys))
-            places = [(np.arange(len(keys)), ranges(keys), False)]
-            if len(guests):
-                places.append((guests, np.array([before[k] for k in keys[guests].tolist()]), True))
-            for rows, nr, guest in places:
+            keys, ties = (column(batch, c).to_numpy() for c in ("key", "tie"))
+            may = np.flatnonzero(np.isin(keys, first_keys))
+            guests = [k for k in may.tolist() if (int(keys[k]), int(ties[k])) in before]
+            sets = [(np.arange(len(keys)), cuts.ranges(keys, ties), False)]
+            if guests:
+                sets.append((np.array(guests), np.array([before[int(keys[k]), int(ties[k])] for k in guests]), True))
+            for rows, nr, guest in sets:
                 part = batch.take(pa.array(rows)) if guest else batch
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(nr.astype(np.int64)), pa.array([guest] * len(rows)), *part.columns],
                     names=["range", "guest", *part.schema.names],
                 )
 
-    rows = docs.select(key.alias("key"), F.xxhash64("text").alias("tie"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     placed = rows.mapInArrow(assign, "range bigint, guest boolean, key bigint, tie bigint, doc_id bigint, text string")
-    return placed.repartition(parts, "range").sortWithinPartitions("range", "guest", "key", "tie")
+    return placed.repartition(max(parts, steps // RANGES), "range").sortWithinPartitions("range", "guest", "key", "tie")
 
 
 FOUND = (
