@@ -521,6 +521,24 @@ FROM typed JOIN adjusted USING (event_id) GROUP BY ALL""",
 row_numbers AS (SELECT DISTINCT event_id FROM typed),
 """,
     ),
+    "dataset_store_matrix": _with(
+        *_LOG_SCORES,
+        ASSESSED,
+        "ranked AS (SELECT *, row_number() OVER (PARTITION BY expected ORDER BY md5(qid::VARCHAR)) AS nr FROM assessed)",
+        f"""members AS (SELECT expected AS set_risk, set_size,
+  CASE WHEN expected = 'critical' AND set_size = 100 THEN 'high' ELSE expected END AS expected, computed, score
+  FROM ranked, unnest({fixed.MATRIX_SIZES}) AS t(set_size) WHERE nr <= set_size)""",
+        *[
+            f"""{name} AS (SELECT {dims}, count(*) AS total, count(*) FILTER (computed = expected) AS correct,
+  100.0::DOUBLE * count(*) FILTER (computed = expected) / count(*) AS accuracy, count(*) FILTER (score = 0) AS zero_scores,
+  min(score)::BIGINT AS min_score, max(score)::BIGINT AS max_score, sum(score)::DOUBLE / count(*) AS avg_score FROM members {group})"""
+            for name, dims, group in (
+                ("cells", "set_risk, set_size::VARCHAR AS set_size", "GROUP BY ALL"),
+                ("whole", "'(all)' AS set_risk, '(all)' AS set_size", ""),
+            )
+        ],
+        select="SELECT * FROM cells UNION ALL SELECT * FROM whole",
+    ),
     "generate_variations": _with(
         LOG,
         select="""SELECT qid, expected AS risk, variant::INTEGER AS variant, CASE WHEN variant IN (1, 3)

@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from needlework import fixed
 from needlework.functions import risk, text
-from needlework.operators import corpus, evaluate, matching, measurements
+from needlework.operators import corpus, evaluate, matching, measurements, sampling, states
 from needlework.operators import dictionary as dicts
 from needlework.plans import inputs
-from needlework.sources import patterns, query_log, reports, sinks, timings
+from needlework.sources import patterns, query_log, reports, sinks, store, timings
 from needlework.streaming import scoring, versions, windows
-from needlework.tables import spread, work_dir
+from needlework.tables import kept, spread, work_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -436,6 +436,30 @@ def generate_matrix(spark, sf_dir):
     return made.groupBy("dataset", "risk").agg(F.count("*").alias("queries"), F.sum("score").alias("score_sum"))
 
 
+@query
+def dataset_store_matrix(spark, sf_dir):
+    """Sets of five sizes per class: written, one replaced, evaluated one by one, and merged into one matrix."""
+    path = work_dir(spark, "sets")
+    log = inputs.query_log(spark, sf_dir).select("qid", "query", "expected", "normalized").cache()
+    for size in fixed.MATRIX_SIZES:
+        taken = sampling.exact_sample(log, "expected", size, "qid")
+        store.write_sets(taken.select("query", "expected", "normalized", F.col("expected").alias("set_risk"), F.lit(size).alias("set_size")), f"{path}/sets")
+    # the set of a hundred critical queries anew, with all queries in it labelled high
+    hundred = store.read_sets(spark, f"{path}/sets", ["Critical_100"])
+    again = kept(hundred.withColumn("expected", F.lit("high")), "again")
+    store.write_sets(again, f"{path}/sets")
+    log.unpersist()
+    words = dicts.standard_dictionary(spark)
+    for size in fixed.MATRIX_SIZES:
+        names = [f"{risk}_{size}" for risk in fixed.LABELS]
+        states.add_sets(evaluate.score_log(store.read_sets(spark, f"{path}/sets", names), words, key="query"), f"{path}/states")
+    found = states.read_states(spark, f"{path}/states")
+    cells = states.results(states.merged(found, ["set_risk", "set_size"]).withColumn("set_size", F.col("set_size").cast("string")))
+    whole = states.results(states.merged(found).withColumns({"set_risk": F.lit("(all)"), "set_size": F.lit("(all)")}))
+    names = ["set_risk", "set_size", "total", "correct", "accuracy", "zero_scores", "min_score", "max_score", "avg_score"]
+    return cells.select(*names).unionByName(whole.select(*names))
+
+
 @query
 def generate_variations(spark, sf_dir):
     base = inputs.query_log(spark, sf_dir).select("qid", "query", F.col("expected").alias("risk"))
