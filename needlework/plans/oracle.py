@@ -205,6 +205,11 @@ ORACLE: dict[str, str] = {
         f"parsed AS (SELECT qid, trim(f[1], {BLANKS}) AS query, trim(f[2], {BLANKS}) AS expected FROM split)",
         select=f"""SELECT qid, query, {_fold("query")} AS normalized, expected FROM parsed
 WHERE expected IN ('low', 'medium', 'high', 'critical')""",
+    ),
+    "scan_log_files": _with(
+        LOG,
+        select=f"""SELECT expected AS set_risk, length(expected)::VARCHAR AS set_size, expected, count(*) AS n,
+  sum(length(trim(replace(query, '"', ''), {BLANKS})))::BIGINT AS characters FROM log GROUP BY ALL""",
     ),
     "scan_query_log_naive": _with(
         LINES,

@@ -33,6 +33,21 @@ def scan_query_log(spark, sf_dir):
     return query_log.parse_log(inputs.log_lines(spark, sf_dir)).select("qid", "query", "normalized", "expected")
 
 
+@query
+def scan_log_files(spark, sf_dir):
+    """The log as CSV files of sets named by class and size, read back and counted per set."""
+    path = work_dir(spark, "log-files")
+    log = inputs.query_log(spark, sf_dir).select("query", "expected")
+    for risk in fixed.LABELS:
+        sinks.write_dataset(log.where(F.col("expected") == risk).withColumnRenamed("expected", "risk").withColumn("part", F.lit(0)), f"{path}/x_{risk.title()}_{len(risk)}.csv", ["part"])
+    rows = query_log.parse_log(query_log.read_log_lines(spark, f"{path}/*/*", source=True))
+    name = F.regexp_extract("file", r"_([A-Z][a-z]+)_(\d+)\.csv/", 1)
+    size = F.regexp_extract("file", r"_([A-Z][a-z]+)_(\d+)\.csv/", 2)
+    return rows.groupBy(F.lower(name).alias("set_risk"), size.alias("set_size"), "expected").agg(
+        F.count("*").alias("n"), F.sum(F.char_length("normalized")).alias("characters")
+    )
+
+
 @query
 def scan_query_log_naive(spark, sf_dir):
     return query_log.parse_log_naive(inputs.log_lines(spark, sf_dir)).select(

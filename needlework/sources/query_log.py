@@ -9,28 +9,30 @@ from needlework.functions.risk import is_label
 from needlework.functions.text import normalize_query, strip_outer_quotes, toggle_fields, trim_field
 from needlework.tables import work_dir
 
-# No such separator occurs in a log, so a whole line lands in one column.
-_NO_SEPARATOR = "\u0001\u0002\u0001"
+#: Files up to which their first lines are sent to all tasks.
+MOST_FILES = 1_000_000
 SET_NAME = r"_(Low|Medium|High|Critical)_(\d+)\.csv$"
 
 
 def read_log_lines(spark: SparkSession, path: str, source: bool = False) -> DataFrame:
-    """Lines of every file without its first line, whatever that line holds.
+    """Lines of every file without its first line, whatever that line holds, be it blank.
 
-    The one-column CSV reader drops the first line per file while the files stay
-    splittable.  Blank lines are skipped.
+    Files stay splittable.  A file's first line is the first row of its first block; rows are
+    numbered as they are read, so the smallest number of that block tells it.  Later blank
+    lines are skipped.
     """
-    lines = (
-        spark.read.schema("value STRING")
-        .option("header", True)
-        .option("lineSep", "\n")
-        .option("sep", _NO_SEPARATOR)
-        .option("quote", "")
-        .option("escape", "")
-        .option("enforceSchema", True)
-        .csv(path)
+    lines = spark.read.option("lineSep", "\n").text(path)
+    lines = lines.select(
+        "value",
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"),
     )
-    return lines.select("value", F.col("_metadata.file_path").alias("file")) if source else lines
+    firsts = lines.where("block = 0").groupBy("file").agg(F.min("row").alias("row"))
+    if len(lines.inputFiles()) <= MOST_FILES:
+        firsts = F.broadcast(firsts)
+    kept = lines.join(firsts, ["file", "row"], "left_anti").where(F.col("value").rlike(r"[^\x00-\x20]"))
+    return kept.select("value", "file") if source else kept.select("value")
 
 
 def parse_log(lines: DataFrame, line: str = "value") -> DataFrame:

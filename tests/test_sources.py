@@ -207,3 +207,22 @@ def test_surface_and_throughput(spark):
     low = pivot.where("risk = 'Low' and dataset_size = 10").first()
     assert low["PFAC"] == 69.403 and math.isclose(low["ratio"], 69.403 / 105.094)
     assert measurements.parameter_grid(spark.range(3)).count() == 15_000
+
+
+def test_only_the_first_line_is_dropped_even_if_it_is_blank(spark, tmp_path):
+    texts = {"a": "\nq1,low\nq2,low\n", "b": "query,risk\n\n \t\nq3,high\n", "c": "q0,low\nq4,low", "d": "", "e": "\n\n\nq5,low"}
+    for name, text in texts.items():
+        (tmp_path / f"{name}.csv").write_text(text)
+    got = sorted(r.query for r in query_log.read_query_log(spark, str(tmp_path)).collect())
+    assert got == ["q1", "q2", "q3", "q4", "q5"]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        (tmp_path / "large").mkdir()
+        (tmp_path / "large" / "x.csv").write_text("\n" + "".join(f"q{i},low\n" for i in range(30_000)))
+        lines = query_log.read_log_lines(spark, str(tmp_path / "large"))
+        assert lines.rdd.getNumPartitions() > 1 and lines.count() == 30_000
+        numbered = query_log.read_numbered_log(spark, str(tmp_path / "large")).select("query")
+        assert query_log.read_query_log(spark, str(tmp_path / "large")).select("query").exceptAll(numbered).isEmpty()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
