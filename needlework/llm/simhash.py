@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from needlework.llm.arrow import column, raw_texts, small_batches
 from needlework.llm.components import components
+from needlework.llm.hot import lookup
 from needlework.llm.store import stored
 
 SEED = 42
@@ -258,13 +259,14 @@ def links(prints: DataFrame, distance: int = DISTANCE, crowd: int = CROWD) -> Da
 
 
 def classes(each: DataFrame, distance: int) -> DataFrame:
-    """fingerprint, root, component_id (smallest doc_id) for the fingerprints of ``each``.
+    """fingerprint, root, component_id (smallest doc_id), rows (of ``each``) for the fingerprints of ``each``.
 
     Documents with equal fingerprints are one node, so copies are never paired.
     """
-    nodes = stored(each.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id")))
-    found = components(links(nodes, distance), nodes.withColumnRenamed("fingerprint", "node"))
-    return found.withColumnsRenamed({"node": "fingerprint", "label": "component_id"})
+    nodes = stored(each.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("rows")))
+    found = components(links(nodes, distance), nodes.select(F.col("fingerprint").alias("node"), "doc_id"))
+    found = found.withColumnsRenamed({"node": "fingerprint", "label": "component_id"})
+    return found.join(nodes.select("fingerprint", "rows"), "fingerprint")
 
 
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
@@ -275,7 +277,8 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     come back, an empty table gives no rows, other columns are ignored.
     """
     each = stored(fingerprints(docs.select("doc_id", "text")))
-    return each.join(classes(each, distance).drop("root"), "fingerprint").select(
+    found = lookup(each, classes(each, distance).drop("root"), ["fingerprint"], "rows", each.count())
+    return found.select(
         "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
@@ -290,7 +293,7 @@ def deduplicate(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """
     key = F.xxhash64("doc_id", "text").alias("_sim_key")
     each = stored(fingerprints(docs.select("doc_id", "text", key)))
-    placed = each.join(classes(each, distance).select("fingerprint", "root"), "fingerprint")
+    placed = lookup(each, classes(each, distance).drop("component_id"), ["fingerprint"], "rows", each.count())
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("_sim_key").alias("key"))
     counted = placed.groupBy("root", rank.alias("row")).count()
     best = stored(counted.groupBy("root").agg(F.min(F.struct("row", "count")).alias("best")).select("best.*"))
