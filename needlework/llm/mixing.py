@@ -2,8 +2,11 @@
 
 Sizes are summed per source, targets are shared out by weight under a cap on repetition,
 and each document is emitted ``floor(rate)`` times plus once more with probability
-``rate - floor(rate)``, decided by a seeded hash of its id.  Everything is DataFrame
-operations: the only wide steps are aggregations with partial sums in the map tasks.
+``rate - floor(rate)``, decided by a seeded hash of its id and text; equal rows have
+coins of their own.  Of a few seeds each source takes the one whose coins come nearest
+to its target, so a coin is fair before the seeds are compared, not after.  Everything
+is DataFrame operations: the wide steps are aggregations with partial sums in the map
+tasks and one join of rows that are equal.
 """
 
 from __future__ import annotations
@@ -17,6 +20,8 @@ from needlework.llm.store import stored
 
 #: Runs of anything but space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Keys of equal rows that are sent to all tasks; more are joined by shuffle.
+BROADCAST_KEYS = 1_000_000
 #: A table of at most this many sources is broadcast; a longer one is joined by shuffle.
 BROADCAST_SOURCES = 50_000
 
@@ -82,12 +87,32 @@ def targets(sizes: DataFrame, how: Mix) -> DataFrame:
     return table.withColumn("target", F.when(capped, cap.cast("double")).otherwise(share)).drop("nr")
 
 
-def chance(doc_id: Column, seed: Column) -> Column:
-    """A number in [0, 1) that depends on the id and the seed only."""
-    text = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), seed.cast("string"))
+def chance(coin: Column, seed: Column) -> Column:
+    """A number in [0, 1) that depends on the row's coin and the seed only."""
+    text = F.concat(coin, F.lit(":"), seed.cast("string"))
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
+def with_coins(rows: DataFrame) -> DataFrame:
+    """Adds ``_mix_coin``: id and hash of the text, and for rows equal in both a number of their own.
+
+    That number is the row's place in its partition, so equal rows are thinned one by one;
+    which of them stay may change with the partitions, how many hardly does.
+    """
+    key = F.xxhash64("doc_id", "text", "source")
+    text = F.concat_ws("|", F.col("doc_id").cast("string"), F.xxhash64("text").cast("string"))
+    keyed = rows.withColumn("_mix_key", key)
+    again = stored(keyed.groupBy("_mix_key").count().where("count > 1").select("_mix_key"))
+    if again.isEmpty():
+        return rows.withColumn("_mix_coin", text)
+    if again.count() <= BROADCAST_KEYS:
+        again = F.broadcast(again)
+    own = F.concat_ws("|", text, F.monotonically_increasing_id().cast("string"))
+    numbered = keyed.withColumn("_mix_own", own)
+    marked = numbered.join(again.withColumn("_mix_again", F.lit(True)), "_mix_key", "left")
+    return marked.withColumn("_mix_coin", F.when(F.col("_mix_again"), F.col("_mix_own")).otherwise(text)).drop("_mix_key", "_mix_own", "_mix_again")
+
+
 def by_source(rows: DataFrame, rates: DataFrame, names: list[str]) -> DataFrame:
     """Each row with its source's ``names``; null is a source like any other.
 
@@ -101,8 +126,13 @@ def by_source(rows: DataFrame, rates: DataFrame, names: list[str]) -> DataFrame:
     return rows.join(keyed, F.col("source").eqNullSafe(F.col("_mix_source")), "left").drop("_mix_source")
 
 
+def sized_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, source, size and coin of every document; stored."""
+    return stored(with_coins(docs.select("doc_id", "source", "text")).select("doc_id", "source", "_mix_coin", n_words(F.col("text")).alias("size")))
+
+
 def rates(sized: DataFrame, how: Mix = Mix()) -> DataFrame:
-    """doc_id, source, size -> per source: source_size, target, rate, seed, as a stored table.
+    """doc_id, source, size, coin -> per source: source_size, target, rate, seed, as a stored table.
 
     Every seed gives an honest coin per document.  Of a few the one is taken under which
     the source's words come nearest to its target, which matters for sources of few or
@@ -113,7 +143,7 @@ def rates(sized: DataFrame, how: Mix = Mix()) -> DataFrame:
     table = stored(targets(sizes, how).withColumn("rate", rate))
     rows = by_source(sized, table, ["rate"])
     taken = [
-        F.sum(copies(F.col("doc_id"), F.col("_mix_rate"), F.lit(k)) * F.col("size")).alias(f"_s{k}")
+        F.sum(copies(F.col("_mix_coin"), F.col("_mix_rate"), F.lit(k)) * F.col("size")).alias(f"_s{k}")
         for k in range(how.seeds)
     ]
     tried = rows.groupBy("source").agg(*taken).withColumnRenamed("source", "_mix_source")
@@ -123,22 +153,22 @@ def rates(sized: DataFrame, how: Mix = Mix()) -> DataFrame:
     return stored(tried.select("source", "source_size", "weight", "target", "rate", seed.alias("seed")))
 
 
-def copies(doc_id: Column, rate: Column, seed: Column) -> Column:
+def copies(coin: Column, rate: Column, seed: Column) -> Column:
     whole = F.floor(rate)
-    return whole + (chance(doc_id, seed) < rate - whole).cast("bigint")
+    return whole + (chance(coin, seed) < rate - whole).cast("bigint")
 
 
 def mixed(docs: DataFrame, how: Mix = Mix()) -> DataFrame:
     """Per document: doc_id, source, size, source_size, target, taken (words, repeats counted).
 
     A null text has size 0, a null source is a source of its own, sources without words
-    take nothing, repeated rows are taken alike, an empty table gives no rows.  Columns
-    other than doc_id, source and text are ignored.
+    take nothing, a null id is an id like any other, repeated rows have coins of their own,
+    an empty table gives no rows.  Columns other than doc_id, source and text are ignored.
     """
-    sized = stored(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")))
+    sized = sized_rows(docs)
     table = rates(sized, how)
     rows = by_source(sized, table, ["source_size", "target", "rate", "seed"])
-    taken = copies(F.col("doc_id"), F.col("_mix_rate"), F.col("_mix_seed")) * F.col("size")
+    taken = copies(F.col("_mix_coin"), F.col("_mix_rate"), F.col("_mix_seed")) * F.col("size")
     return rows.select(
         "doc_id", "source", "size", F.col("_mix_source_size").alias("source_size"), F.col("_mix_target").alias("target"),
         taken.alias("taken"),
@@ -146,9 +176,11 @@ def mixed(docs: DataFrame, how: Mix = Mix()) -> DataFrame:
 
 
 def mix(docs: DataFrame, how: Mix = Mix()) -> DataFrame:
-    """The documents themselves, each as often as the mix takes it, with their own columns."""
-    sized = stored(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")))
-    rows = by_source(docs, rates(sized, how), ["rate", "seed"])
-    times = copies(F.col("doc_id"), F.col("_mix_rate"), F.col("_mix_seed")).cast("int")
+    """The documents themselves, each as often as the mix takes it, with their own columns.
+
+    Nulls, repeated rows and empty tables are as with ``mixed``; the text's words are counted.
+    """
+    rows = by_source(with_coins(docs), rates(sized_rows(docs), how), ["rate", "seed"])
+    times = copies(F.col("_mix_coin"), F.col("_mix_rate"), F.col("_mix_seed")).cast("int")
     copied = rows.withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(0), times)))
     return copied.select(*[F.col(f"`{c}`") for c in docs.columns])
