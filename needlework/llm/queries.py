@@ -25,8 +25,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, tokenizer = table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER)
-    return scoring.score(docs, scoring.counts(docs, tokenizer), tokenizer)
+    return scoring.score(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +36,8 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    return url_filter.judge_urls(pages, RULES, url_filter.hosts_with_words(pages, BLOCKED_WORDS))
+    blocked = url_filter.hosts_with_words(pages, BLOCKED_WORDS).unionByName(url_filter.thin_pages(pages))
+    return url_filter.judge_urls(pages, RULES, blocked)
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
