@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 from needlework.llm.arrow import column, raw_texts, small_batches
 
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
 ASCII_LETTER = re.compile(rb"[A-Za-z]")
 
 
@@ -177,7 +176,7 @@ def cut_windows(text: bytes, size: int) -> np.ndarray:
 
 
 def has_letter(text: bytes) -> bool:
-    return bool(ASCII_LETTER.search(text)) or bool(LETTER.search(text.decode("utf-8", "replace")))
+    return bool(ASCII_LETTER.search(text)) or any(map(str.isalpha, text.decode("utf-8", "replace")))
 
 
 def held_out() -> Column:
@@ -187,15 +186,16 @@ def held_out() -> Column:
 def sample_windows(docs: DataFrame, shape: Shape, how: Training) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Windows of about ``how.rows`` labelled documents per language, the rarest kept whole.
 
-    Documents are chosen by a hash of their id, windows at seeded places, so the sample
-    does not depend on the partitions.  It is bounded by languages x rows x windows.
+    Documents are chosen by a hash of id and text, windows at seeded places, so the sample
+    does not depend on the partitions.  Equal windows of equal rows count once.  It is
+    bounded by languages x rows x windows.
     """
     known = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     share = {r["lang"]: min(1.0, how.rows / r["count"]) for r in known.groupBy("lang").count().collect()}
     if not share:
         return np.zeros((0, shape.window), np.uint8), np.zeros(0, int), []
     wanted = F.create_map(*[F.lit(x) for pair in sorted(share.items()) for x in pair])[F.col("lang")]
-    chosen = known.where(F.pmod(F.xxhash64(F.lit(how.seed), "doc_id"), F.lit(1 << 20)) < wanted * (1 << 20))
+    chosen = known.where(F.pmod(F.xxhash64(F.lit(how.seed), "doc_id", "text"), F.lit(1 << 20)) < wanted * (1 << 20))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
@@ -213,7 +213,8 @@ def sample_windows(docs: DataFrame, shape: Shape, how: Training) -> tuple[np.nda
                     names=["doc_id", "at", "lang", "window"],
                 )
 
-    rows = chosen.select("doc_id", "lang", "text").mapInArrow(cut, "doc_id bigint, at bigint, lang string, window binary").collect()
+    windows = chosen.select("doc_id", "lang", "text").mapInArrow(cut, "doc_id bigint, at bigint, lang string, window binary")
+    rows = windows.distinct().collect()
     rows.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["at"], bytes(r["window"]), r["lang"]))
     languages = sorted({r["lang"] for r in rows})
     windows = np.frombuffer(b"".join(bytes(r["window"]) for r in rows), dtype=np.uint8).reshape(-1, shape.window)
@@ -280,11 +281,16 @@ def identify(docs: DataFrame, net: Network, keep: bool = False) -> DataFrame:
     return source.mapInArrow(run, schema)
 
 
-def keep_identified(docs: DataFrame, net: Network, least: float = 0.28) -> DataFrame:
-    """The documents whose language is known: not ``und`` and with a score of ``least`` or more.
+def keep_identified(docs: DataFrame, net: Network, above: float = 0.04) -> DataFrame:
+    """The documents whose language is known: not ``und``, and with a score above even odds.
 
-    ``lang`` stays as it came; the columns are those of ``docs``.
+    A score counts as above them if it makes up at least the share ``above`` of the way from
+    one in the number of languages to one.  With a single language only texts without a
+    letter go; if nothing was labelled, all do.  Nulls, repeated rows and empty tables are
+    as with ``identify``; ``lang`` stays as it came and the columns are those of ``docs``.
     """
+    even = 1 / max(1, len(net.languages))
+    least = even + above * (1 - even)
     names = docs.columns
     judged = docs.toDF(*[f"c{i}" if n not in ("doc_id", "text") else n for i, n in enumerate(names)])
     kept = identify(judged, net, keep=True).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))

@@ -164,15 +164,17 @@ def fit(docs: DataFrame, labels: DataFrame, how: Boosting = Boosting()) -> Trees
 
     About ``how.rows`` labels are taken by a hash of their id, all of them if there are
     fewer.  They are joined to the documents they name, whose statistics come to the
-    driver; nothing else does.
+    driver; nothing else does.  Of labels that share an id the highest counts, of documents
+    that do the one with the smallest statistics, so no id adds more than one row.
     """
     known = labels.where(~held_out() & F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
-    known = known.select("doc_id", F.col("quality").cast("double").alias("quality"))
+    known = known.groupBy("doc_id").agg(F.max(F.col("quality").cast("double")).alias("quality"))
     share = min(1.0, how.rows / max(known.count(), 1))
     chosen = known.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 20)) < share * (1 << 20))
     named = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    rows = measured(named, ["doc_id", "quality"]).collect()
-    rows = sorted((r["doc_id"], r["quality"], r["stats"]) for r in rows)
+    # one row for an id, however many rows share it
+    once = measured(named, ["doc_id", "quality"]).groupBy("doc_id").agg(F.min(F.struct("quality", "stats")).alias("row"))
+    rows = sorted((r["doc_id"], r["row"]["quality"], r["row"]["stats"]) for r in once.collect())
     x = np.array([r[2] for r in rows], dtype=np.float64).reshape(-1, len(STATISTICS))
     return grow(x, np.array([r[1] for r in rows]), how)
 
