@@ -14,7 +14,8 @@ import xxhash
 from tokenizers import Tokenizer
 
 from needlework.llm import (
-    components, language, lz, mixing, packing, quality_model, repetition, scoring, secrets, simhash, url_filter,
+    components, language, lz, mixing, packing, quality_model, repetition, scoring, secrets, simhash, tokens,
+    url_filter,
 )
 
 from .conftest import PROSE, docs
@@ -35,40 +36,72 @@ def random_texts(seed, n=40, words=60, letters="abc"):
 # language-model scoring
 
 
-def test_scores_equal_a_direct_count(spark):
-    texts = random_texts(1) + [None, ""]
-    table = docs(spark, texts)
-    found = {r["doc_id"]: r for r in scoring.score(table, scoring.counts(table, FILE), FILE).collect()}
-    singles, pairs, starts = Counter(), Counter(), 0
-    for t in texts:
-        ids = ids_of(t)
-        singles.update(ids)
-        pairs.update(zip(["^", *ids], ids))
-        starts += bool(ids)
-    total = sum(singles.values())
+def plain_score(ids, grams, order, factor=0.4):
+    """Score and number of steps back, by counts of the n-grams (as tuples) of all other texts."""
+    score, backed = 0.0, 0
+    ids = ["^"] * (order - 1) + ids
+    total = sum(n for g, n in grams.items() if len(g) == 1 and g != ("^",))
+    for at in range(order - 1, len(ids)):
+        for size in range(order, 0, -1):
+            gram = tuple(ids[at + 1 - size : at + 1])
+            if size == 1 or grams[gram] > 0:
+                below = grams[gram[:-1]] if size > 1 else total
+                score += math.log(factor ** (order - size) * max(grams[gram], 1) / max(below, 1))
+                backed += size < order
+                break
+    return score, backed
+
+
+def plain_grams(ids, order):
+    """Occurrences of all n-grams of up to ``order`` ids; the start counts as one id of a text."""
+    padded = ["^"] * (order - 1) + ids
+    found = Counter((w,) for w in ids)
+    if ids:
+        found["^",] += 1
+        found[("^",) * (order - 1)] += order > 2
+        for at in range(order - 1, len(padded)):
+            found.update(tuple(padded[at + 1 - size : at + 1]) for size in range(2, order + 1))
+    return found
+
+
+@pytest.mark.parametrize("order", [2, 3])
+@pytest.mark.parametrize("alone", [True, False])
+def test_scores_equal_a_direct_count(spark, order, alone):
+    texts = random_texts(1) + random_texts(1)[:3] + [None, ""]
+    others = random_texts(2, 20)
+    corpus = None if alone else docs(spark, others)
+    found = {r["doc_id"]: r for r in scoring.score(docs(spark, texts).repartition(3), FILE, corpus, scoring.Backoff(order, bucket=64)).collect()}
+    everything = Counter()
+    for t in texts if alone else others:
+        everything.update(plain_grams(ids_of(t), order))
     for i, t in enumerate(texts):
-        score, backed = 0.0, 0
-        for v, w in zip(["^", *ids_of(t)], ids_of(t)):
-            if pairs[v, w] >= 2:
-                score += math.log(pairs[v, w] / (starts if v == "^" else singles[v]))
-            else:
-                score, backed = score + math.log(0.4 * singles[w] / total), backed + 1
+        rest = Counter(everything)
+        if alone:
+            rest.subtract(plain_grams(ids_of(t), order))
+        score, backed = plain_score(ids_of(t), rest, order)
         assert found[i]["n_tokens"] == len(ids_of(t)) and found[i]["n_backoff"] == backed
         assert found[i]["log_score"] == pytest.approx(score)
 
 
+def test_a_copy_tells_documents_apart(spark):
+    texts = random_texts(5, 30, 60, "abcdefgh")
+    rows = scoring.score(docs(spark, texts + texts[:4]), FILE).collect()
+    twice = [r["mean_score"] for r in rows if (r["doc_id"] < 4 or r["doc_id"] >= 30) and r["n_tokens"] > 8]
+    once = [r["mean_score"] for r in rows if 4 <= r["doc_id"] < 30 and r["n_tokens"] > 8]
+    assert min(twice) > max(once)
+
+
 def test_scores_of_texts_outside_the_corpus_back_off(spark):
-    table = scoring.counts(docs(spark, ["the cat sat", "the cat ran"]), FILE)
-    row = scoring.score(docs(spark, ["zebra quartz"]), table, FILE).first()
+    row = scoring.score(docs(spark, ["zebra quartz"]), FILE, docs(spark, ["the cat sat", "the cat ran"])).first()
     assert row["n_backoff"] == row["n_tokens"] and row["mean_score"] < -1
 
 
 def test_scoring_stands_awkward_and_empty_tables(awkward, nothing):
-    table = scoring.counts(awkward, FILE)
-    rows = scoring.score(awkward, table, FILE).collect()
+    rows = scoring.score(awkward, FILE).collect()
     assert len(rows) == awkward.count()
     assert all(r["mean_score"] is None and r["log_score"] == 0 for r in rows if r["n_tokens"] == 0)
-    assert scoring.score(nothing, scoring.counts(nothing, FILE), FILE).count() == 0
+    assert scoring.score(nothing, FILE).count() == 0
+    assert len(scoring.score(awkward, FILE, nothing).collect()) == awkward.count()
 
 
 # language
@@ -134,6 +167,36 @@ def test_language_stands_awkward_and_empty_tables(awkward, nothing):
     assert {r["lang_pred"] for r in language.identify(awkward, language.fit(nothing)).collect()} == {"und"}
 
 
+def test_number_signs_are_no_letters(spark):
+    assert not language.has_letter("½ ² 3 Ⅷ ①".encode()) and language.has_letter("½ ª".encode()) and language.has_letter("日".encode())
+
+
+def test_samples_stay_bounded_when_rows_are_equal(spark):
+    rows = [(1, "the same text again", "en")] * 400 + [(i, "ein anderer Text", "de") for i in range(2, 40)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    windows, _, _ = language.sample_windows(table, language.Shape(), language.Training(rows=1000))
+    assert len(windows) < 60
+    labels = spark.createDataFrame([(1, 0)] * 50 + [(i, i % 2) for i in range(2, 40)], "doc_id bigint, quality int")
+    collected = []
+    grow = quality_model.grow
+    quality_model.grow = lambda x, y, how: collected.append(len(x)) or grow(x, y, how)
+    try:
+        quality_model.fit(table, labels)
+    finally:
+        quality_model.grow = grow
+    assert collected[0] < 40
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 8])
+def test_texts_at_even_odds_go_whatever_the_number_of_languages(spark, n, monkeypatch):
+    net = language.Network.fresh(language.Shape(window=20, filters=3), [f"l{i}" for i in range(n)], 3)
+    scores = [1 / n, 1.0]
+    judged = lambda docs, net, keep: docs.selectExpr("*", "'l0' AS lang_pred", f"IF(doc_id = 0, {scores[0]}, {scores[1]}) AS score")
+    monkeypatch.setattr(language, "identify", judged)
+    kept = [r["doc_id"] for r in language.keep_identified(docs(spark, ["x", "y"]), net).collect()]
+    assert kept == ([1] if n > 1 else [0, 1])
+
+
 # URLs
 
 RULES = [url_filter.Rule("allow", "org", "/"), url_filter.Rule("block", "example.org", "/en/1"), url_filter.Rule("block", "com", "/de/")]
@@ -160,26 +223,42 @@ def test_urls_are_judged_like_one_by_one(spark):
         assert (row["host"], row["path"], row["rule"], row["verdict"]) == (host, path, rule and rule.text, verdict), u
 
 
-def test_cascade_is_exact_and_needs_several_levels(spark):
+def test_cascade_is_exact_and_needs_several_levels(spark, monkeypatch):
     universe = spark.range(4000).selectExpr("concat('k', id) AS key", "id % 5 = 0 AS listed")
-    found = url_filter.cascade(universe, rate=0.3)
+    found = url_filter.cascade(universe)
     assert len(found.levels) >= 3
     assert universe.where(found.holds(universe["key"]) != universe["listed"]).count() == 0
-    assert url_filter.cascade(universe, most_words=1) is None
     assert url_filter.cascade(universe.where("false")).levels == ()
-
-
-def test_long_lists_are_joined_with_the_same_answer(spark, monkeypatch):
-    pages = spark.createDataFrame([(i, u) for i, u in enumerate(URLS)], "page_id bigint, url string")
-    blocked = spark.createDataFrame([("ads.net",), ("c.org",)], "key string")
-    one = sorted(map(tuple, url_filter.judge_urls(pages, RULES, blocked).collect()), key=str)
-    cascade = url_filter.cascade
-    calls = []
-    monkeypatch.setattr(url_filter, "cascade", lambda u: calls.append(1) or (cascade(u) if len(calls) == 1 else None))
-    assert sorted(map(tuple, url_filter.judge_urls(pages, RULES, blocked).collect()), key=str) == one
-    monkeypatch.undo()
+    # levels of several literals
+    monkeypatch.setattr(url_filter, "SEGMENT", 4)
+    cut = url_filter.cascade(universe)
+    assert len(cut.levels[0].segments) > 3
+    assert universe.where(cut.holds(universe["key"]) != universe["listed"]).count() == 0
+
+
+def test_levels_are_sized_by_the_list_not_by_the_corpus(spark):
+    bits = []
+    for n in (1000, 100_000):
+        universe = spark.range(n).selectExpr("concat('k', id) AS key", "id < 20 AS listed")
+        found = url_filter.cascade(universe)
+        assert universe.where(found.holds(universe["key"]) != universe["listed"]).count() == 0
+        bits.append(sum(level.bits * len(level.segments) for level in found.levels))
+    assert bits[1] < 3 * bits[0]
+
+
+def test_block_lists_of_hosts_and_addresses(spark):
+    rows = [(i, f"http://a{i % 30}.net/{i}", "<b>" * (i % 7) + "word " * (i % 5)) for i in range(400)] + [(900, None, None), (901, "x", "y")]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    blocked = url_filter.thin_pages(pages, share=0.2).unionByName(spark.createDataFrame([("a3.net",)], "key string"))
+    listed = {r["key"] for r in blocked.collect()}
+    assert len(listed) == 81
+    found = {r["page_id"]: r["verdict"] for r in url_filter.judge_urls(pages, [], blocked).collect()}
+    for i, url, _ in rows:
+        host, _, path = (url or "").partition("://")[2].partition("/")
+        assert found[i] == ("block" if host == "a3.net" or f"{host} /{path}" in listed else "allow")
     empty = pages.where("false")
     assert url_filter.judge_urls(empty, RULES, url_filter.hosts_with_words(empty, ("ads",))).count() == 0
+    assert url_filter.thin_pages(empty).count() == 0
 
 
 # secrets
@@ -452,8 +531,9 @@ def simple_phrases(text):
 
 def test_phrases_equal_a_plain_parse():
     for text in random_texts(11, 20, 80) + ["", "a", "aaaaaaaaaaaa", "😀é😀é😀é"]:
-        seen, ends = set(), []
-        lz.parse(text, 0, seen, ends)
+        ends = []
+        lz.parse(text, 0, {}, ends)
+        seen = {text[a:b] for a, b in zip([0, *ends], ends)}
         assert seen == simple_phrases(text) and len(ends) == len(seen)
         edited = lz.edited_text(text, "xyz abc " * 30)
         own, other = lz.both_fingerprints(text, edited, len(text) - len(text) // 2)
@@ -482,6 +562,21 @@ def test_every_document_meets_the_next_one(spark):
         assert row["near_next"] == lz.likeness(lz.fingerprint(own), lz.fingerprint(following))
 
 
+def test_rows_that_share_an_id_are_cut_apart_and_lose_no_neighbour(spark):
+    texts = [f"text {i} {'ab' * (i % 7)}" for i in range(900)]
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, t) for i, t in enumerate(texts)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    placed = lz.with_neighbours(table)
+    sizes = [r["count"] for r in placed.groupBy("range").count().collect()]
+    assert max(sizes) < 90
+    ordered = table.selectExpr("doc_id", "text", "xxhash64(text) AS tie").orderBy("doc_id", "tie").collect()
+    want = Counter()
+    for r, following in zip(ordered, ordered[1:] + ordered[:1]):
+        edited = lz.edited_text(r["text"], following["text"])
+        want[r["doc_id"], hashlib.sha256(edited.encode()).hexdigest()] += 1
+    assert Counter((r["doc_id"], r["edited_sha256"]) for r in lz.fingerprint_with_next(table).collect()) == want
+
+
 def test_lz_stands_awkward_and_empty_tables(spark, awkward, nothing):
     assert lz.fingerprint_with_next(awkward).count() == awkward.count()
     assert lz.fingerprint_with_next(nothing).count() == 0
@@ -538,14 +633,17 @@ def test_cuts_cost_no_more_than_any_others():
         best = {0: 0}
         for j in range(1, len(at)):
             best[j] = min(best[i] + 16 - int(at[j] - at[i]) + int(penalty[j]) for i in range(j) if at[j] - at[i] <= 16)
-        assert cost(packing.best_cuts(at, penalty, 16)) == best[len(at) - 1]
+        path = packing.best_cuts(at, penalty, 16)
+        assert path[-1] > 60 - 16 and cost(path) == min(best[j] for j in range(len(at)) if at[j] > 60 - 16)
 
 
-def test_word_ids_equal_the_tokenizer_even_when_it_forgets():
-    words = packing.WordIds(FILE, most=3)
-    texts = random_texts(3, 10) + ["É### a´. x≠ a'S. b'll!! ٣. ǅ; ²! é?", "Σas ΟΔΟΣ ΟΔΟΣ.", "A<|ENDOFTEXT|>.", "a\x1cb c\x85d 日本　語"]
-    for t in texts:
+def test_ids_equal_the_tokenizer_even_when_it_forgets():
+    odd = ["É### a´. x≠ a'S. b'll!! ٣. ǅ; ²! é?", "Σas ΟΔΟΣ ΟΔΟΣ.", "A<|ENDOFTEXT|>.", "a\x1cb c\x85d 日本　語", "", "İstanbul ª º µ × ÷ ½"]
+    odd += ["''s 'street '' !'s 're've it's I'LL", "“q” — it’s €5\x0b\x0c", "x" * 200 + " y", "9" * 70 + "!" * 70, "e\u0301 a\xa0b \ufb01"]
+    words = tokens.TextIds(FILE, most=300)
+    for t in random_texts(3, 10) + odd:
         assert words.of([t.encode()])[0].tolist() == ids_of(t), t
+    assert [a.tolist() for a in words.of([t.encode() for t in odd])] == [ids_of(t) for t in odd]
 
 
 def test_packing_stands_awkward_and_empty_tables(awkward, nothing):
@@ -592,6 +690,19 @@ def test_targets_and_copies(spark):
     assert all(times[r["doc_id"]] * r["size"] == r["taken"] for r in found)
 
 
+def test_rows_that_share_an_id_or_are_equal_come_near_their_target(spark):
+    rows = [(7, f"w{i} b c", "a") for i in range(900)] + [(None, f"w{i} b c", "b") for i in range(900)] + [(5, "all the same", "c")] * 900
+    rows += [(i, f"w{i}", "d") for i in range(3000)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(5)
+    found = mixing.mixed(table).collect()
+    taken, target = Counter(), {}
+    for r in found:
+        taken[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+        assert 0 <= r["taken"] <= 3 * r["size"]
+    assert all(abs(taken[s] - target[s]) < 0.04 * target[s] for s in "abcd")
+
+
 def test_many_sources_are_joined_by_shuffle_with_the_same_answer(spark, monkeypatch):
     table = spark.range(400).selectExpr("id AS doc_id", "repeat('w ', cast(id % 9 AS int)) AS text", "concat('s', id % 50) AS source")
     one = sorted(map(tuple, mixing.mixed(table).collect()))
