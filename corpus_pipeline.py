@@ -12,33 +12,44 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from needlework.llm import language, mixing, packing, secrets, simhash
-from needlework.llm.store import shared_folder
+from needlework.llm.store import removed, shared_folder
 
 TOKENIZER = "word_bpe_49k.json"
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a recognised language; those without letters or with even odds go."""
+    """Documents in a recognised language; those without letters or with even odds go.
+
+    Null, empty and blank texts go, equal rows are judged alike, and an empty table stays empty.
+    """
     return language.keep_identified(docs, language.fit(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest id."""
+    """One document of each group of near-duplicates: the one with the smallest id.
+
+    Of rows that share that id the one whose text hashes lowest stays, of equal rows one; a
+    null id stays only if its group has no other.  Texts without words are one group.
+    """
     return simhash.deduplicate(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets replaced."""
+    """All documents, with secrets replaced; null texts stay null and repeated rows stay."""
     return secrets.redact_secrets(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated and thinned until the sources reach their target shares."""
+    """Documents repeated and thinned until the sources reach their target shares.
+
+    A null source is a source like any other, equal rows are taken one by one, and of a
+    source without words nothing is taken.
+    """
     return mixing.mix(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of 4096 tokens."""
+    """Pieces of documents in sequences of 4096 tokens; a null text has the end id alone."""
     return packing.pack(docs, public_tokenizers.path(TOKENIZER))
 
 
@@ -54,10 +65,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder and read again."""
+    """All stages over ``documents``, each written to the shared folder and read again.
+
+    A stage's rows are deleted once the next one has written its own; those of the last
+    but one stay, as the result is made from them when it is asked for.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            removed(spark, f"{folder}/{before}")
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)
