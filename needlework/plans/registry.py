@@ -14,7 +14,7 @@ from needlework.operators import dictionary as dicts
 from needlework.plans import inputs
 from needlework.sources import patterns, query_log, reports, sinks, store, timings
 from needlework.streaming import scoring, versions, windows
-from needlework.tables import kept, spread, work_dir
+from needlework.tables import SPREAD_SPLITS, kept, spread, work_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -517,7 +517,9 @@ def modelled_time(spark, sf_dir):
 
 def _stream(spark, sf_dir, name):
     schema = inputs.table(spark, sf_dir, name).schema
-    return scoring.read_stream(spark, sf_dir, schema, f"{name}.parquet")
+    # one file is one split; its rows are dealt out so that no single task scans them all
+    parts = min(spark.sparkContext.defaultParallelism, SPREAD_SPLITS)
+    return scoring.read_stream(spark, sf_dir, schema, f"{name}.parquet", partitions=parts)
 
 
 @query

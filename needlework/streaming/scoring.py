@@ -49,7 +49,7 @@ def stream_risk_windows(
     """Queries per time window and computed class; later rows than ``delay`` drop out.
 
     State holds one counter per open window and class.  ``late_rows`` tells how many
-    rows came too late.
+    groups of rows the recent batches dropped; ``windows.run_final_windows`` keeps such rows.
     """
     counted = assessed.withWatermark(time, delay).groupBy(F.window(time, window), "computed")
     return counted.agg(F.count("*").alias("n")).select(
