@@ -213,8 +213,9 @@ def candidates(
 ) -> DataFrame:
     """(columns, gram, starts, tails): the texts' byte strings that pass the filter; one row per text and string."""
     source = texts.select(*columns, F.col(text).alias("_scanned"))
-    lists = {"_gram": LongType(), "_starts": IntegerType(), "_tails": ArrayType(BinaryType())}
-    schema = StructType([*texts.select(*columns).schema.fields, *[StructField(n, ArrayType(t)) for n, t in lists.items()]])
+    kinds = {"gram": LongType(), "starts": IntegerType(), "tails": ArrayType(BinaryType())}
+    found_type = ArrayType(StructType([StructField(n, t) for n, t in kinds.items()]))
+    schema = StructType([*texts.select(*columns).schema.fields, StructField("_found", found_type)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -230,14 +231,12 @@ def candidates(
                 tails = tails_of(data, np.repeat(stop[of[tall]], n[tall]), place, tail)
                 ends = np.append(0, np.cumsum(np.where(tall, n, 0))).astype(np.int32)
                 bounds = np.append(0, np.cumsum(np.bincount(of, minlength=len(own)))).astype(np.int32)
-                values_ = [pa.array(gram.view(np.int64)), pa.array(n.astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), tails)]
-                found = [pa.ListArray.from_arrays(pa.array(bounds), v) for v in values_]
+                parts = [pa.array(gram.view(np.int64)), pa.array(n.astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), tails)]
+                found = pa.ListArray.from_arrays(pa.array(bounds), pa.StructArray.from_arrays(parts, names=list(kinds)))
                 keys = [batch.column(k).slice(lo, hi - lo) for k in range(len(columns))]
-                yield pa.RecordBatch.from_arrays([*keys, *found], names=[*columns, *lists])
+                yield pa.RecordBatch.from_arrays([*keys, found], names=[*columns, "_found"])
 
-    rows = source.mapInArrow(run, schema)
-    zipped = F.arrays_zip(F.col("_gram").alias("gram"), F.col("_starts").alias("starts"), F.col("_tails").alias("tails"))
-    return rows.select(*columns, F.inline(zipped))
+    return source.mapInArrow(run, schema).select(*columns, F.inline("_found"))
 
 
 def anchored_hits(
