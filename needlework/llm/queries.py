@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from needlework.llm import language, lz, mixing, ngram_join, packing, prefix_trie, quality_model, repetition, scoring, secrets, simhash, spelling, url_filter
+from needlework.llm import language, lz, mixing, ngram_join, oracle, packing, prefix_trie, quality_model, repetition, scoring, secrets, simhash, spelling, url_filter
 from needlework.llm.url_filter import Rule
 
 TOKENIZER = "word_bpe_49k.json"
@@ -97,4 +97,4 @@ QUERIES = {
     "op12_spelling": op12_spelling,
     "op13_ngram_join": op13_ngram_join,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = oracle.ORACLE
