@@ -264,12 +264,14 @@ def anchored_hits(
     sizes = sorted(r["size"] for r in measured)
     rows, longest = sum(r["n"] for r in measured), max((r["longest"] for r in measured), default=0)
     anchors = filter_of(entries.select("gram"), max(rows, 1))
-    found = candidates(texts, keys, text, sizes, anchors, tail, piece)
+    # no tail is longer than what the longest pattern has behind its anchor
+    reach = min(tail, max(longest - ANCHOR, 0))
+    found = candidates(texts, keys, text, sizes, anchors, reach, piece)
     if rows <= broadcast_rows and sum(r["bytes"] for r in measured) <= broadcast_bytes:
         met = found.join(F.broadcast(entries), "gram")
     else:
         sample = texts.where(F.pmod(F.xxhash64(text), F.lit(SAMPLE)) == 0)
-        met = _salted(found, entries, candidates(sample, keys, text, sizes, anchors, tail, piece).select("gram"), keys)
+        met = _salted(found, entries, candidates(sample, keys, text, sizes, anchors, reach, piece).select("gram"), keys)
     matching = F.filter("tails", lambda tail: F.startswith(tail, F.col("rest")))
     hits = F.when(F.col("rest").isNull(), F.col("starts")).otherwise(F.size(matching)).cast("bigint").alias("hits")
     met = met.select(*keys, "pid", "pattern", "weight", "whole", "overlap", hits).where("hits > 0")
