@@ -256,6 +256,24 @@ def test_a_gram_in_every_text_is_dealt_out(spark):
     assert sum(sizes) == 40 * 3000 and len(sizes) == 8 and max(sizes) < 2 * sum(sizes) / len(sizes)
 
 
+@pytest.mark.parametrize("tail", [64, 3])
+def test_patterns_that_begin_alike_are_not_paired_with_every_text(spark, tail):
+    entries = [(i, f"prefixes{i:04d}", 1) for i in range(2000)] + [(5000 + i, w, 1) for i, w in enumerate(["p", "xes", "prefixe", "prefixes", "prefixes0001 and"])]
+    values = [f"a prefixes{i:04d} prefixes0001 an prefixes{2 * i:04d}" for i in range(300)] + ["prefixe", "", None]
+    d, t = dictionary(spark, entries), texts(spark, values)
+    heads = anchored.filed_by_heads(d, tail)
+    if tail == 64:
+        assert heads.groupBy("gram").count().agg(F.max("count")).first()[0] == 1
+        lengths = sorted({len(p) for _, p, _ in entries if len(p) > 7})
+        known = anchored.filter_of(heads.select(F.explode(F.array("gram", "first"))), 2 * len(entries))
+        met = anchored.candidates(t, ["qid"], "normalized", [1, 3, 7, 8], known, lengths=lengths).join(heads, "gram")
+        assert met.where("rest IS NOT NULL").count() < 5 * len(values)
+    want = {(i, k): len(occurrences(x, p)) for i, x in enumerate(values) for k, p, _ in entries if p in (x or "")}
+    for rows in (10**6, 100, 0):  # broadcast, longer patterns shuffled, all shuffled
+        found = anchored_hits(t, d, ["qid"], "normalized", broadcast_rows=rows, tail=tail, piece=20).collect()
+        assert len(found) == len(want) and {(r.qid, r.pid): r.hits for r in found} == want
+
+
 def test_chains_of_implications(spark):
     n = 200
     entries = [(1000 - k, "a" * k, 1) for k in range(1, n + 1)] + [(2000, "b", 1), (2001, "ba" + "a" * 50, 1), (2002, "b", 1)]
