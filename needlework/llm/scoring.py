@@ -1,10 +1,11 @@
 """Language-model scores with stupid backoff, by joining a document's n-grams with n-gram tables.
 
-The units are the ids of a public tokenizer.  The n-grams of a batch of documents are
-counted where the documents are read and sent to buckets of a hash of their context, so
+The units are the ids of a public tokenizer; texts are coded once and their ids kept in
+the shared folder.  The n-grams of a batch of documents are counted where its ids are
+read and sent to buckets of a hash of their context, so
 the table of counts is partitioned by that hash: a bucket sums what all batches send and
 answers each batch with the counts of its own n-grams and contexts.  A batch's row of
-ids travels beside them, meets the answers, and its documents are scored and summed.
+ids meets the answers, and its documents are scored and summed.
 An n-gram takes one entry per batch, however common it is, and travels in a few bytes.
 
     S(w | u v) = c(u v w) / c(u v)                if c(u v w) > 0
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 
 from needlework.llm.arrow import column, raw_texts, small_batches
 from needlework.llm.tokens import text_ids
+from needlework.tables import kept
 
 #: Ids are below these; they stand before a document's first id and behind its last.
 END, START = (1 << 16) - 2, (1 << 16) - 1
@@ -134,8 +136,11 @@ def as_rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names=["bucket", "batch", "asks", "data", "doc_id"])
 
 
-def sent(docs: DataFrame, tokenizer_file: str, order: int, bits: int, asks: bool) -> DataFrame:
-    """Per batch: its ids (bucket -1, if it asks) and its n-grams by bucket, the first ``bits`` bits of the context."""
+CODED = "batch bigint, data binary, doc_id array<bigint>"
+
+
+def coded(docs: DataFrame, tokenizer_file: str) -> DataFrame:
+    """Per batch of documents its ids, coded once and kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, nr = text_ids(tokenizer_file), TaskContext.get().partitionId() << 32
@@ -143,19 +148,36 @@ def sent(docs: DataFrame, tokenizer_file: str, order: int, bits: int, asks: bool
             for batch in (large.slice(at, MOST_ROWS) for at in range(0, large.num_rows, MOST_ROWS)):
                 parts = words.of(raw_texts(batch))
                 sizes = np.array([len(p) for p in parts], dtype=np.int64)
-                ids = np.concatenate(parts)
-                rows = [(-1, nr, asks, packed(ids, sizes), column(batch, "doc_id").to_pylist())] if asks else []
-                grams, _ = grams_of(ids, sizes, order)
-                grams, counts = np.unique(grams, return_counts=True)
+                row = [[nr], [packed(np.concatenate(parts), sizes)], [column(batch, "doc_id").to_pylist()]]
+                kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array(*c) for c in zip(row, kinds, strict=True)], names=["batch", "data", "doc_id"])
+                nr += 1
+
+    return kept(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, CODED), "lm_ids")
+
+
+def ids_of(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of a batch's texts, one after another, and how many each has."""
+    ids, sizes = unpacked(data)
+    return ids, sizes.astype(np.int64)
+
+
+def sent(ids: DataFrame, order: int, bits: int, asks: bool) -> DataFrame:
+    """Per batch: its n-grams by bucket, the first ``bits`` bits of the context."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for nr, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                grams, counts = np.unique(grams_of(*ids_of(data), order)[0], return_counts=True)
                 bucket = (grams >> np.uint64(48 - bits)).astype(np.int64)
+                rows = []
                 for start, n in zip(*groups(bucket), strict=True):
                     part = slice(start, start + n)
                     rows.append((int(bucket[start]), nr, asks, as_bucket(grams[part], counts[part]), None))
                 if rows:
                     yield as_rows(rows)
-                nr += 1
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, ROW)
+    return ids.select("batch", "data").mapInArrow(run, ROW)
 
 
 # ---- the tables and their answers ---------------------------------------------------------------
@@ -180,7 +202,7 @@ def answers(bucket: int, held: list[tuple], own: bool) -> Iterator[tuple]:
 
 
 def answered(rows: DataFrame, own: bool) -> DataFrame:
-    """The batches' ids as they are, and for each batch and bucket the corpus counts of its n-grams and contexts.
+    """For each batch and bucket the corpus counts of its n-grams and contexts.
 
     Rows that do not ask make up the corpus, or all rows if the documents are their ``own``.
     """
@@ -188,10 +210,7 @@ def answered(rows: DataFrame, own: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
         for rows in batches:
-            for bucket, batch, asks, data, doc_id in zip(*(c.to_pylist() for c in rows.columns), strict=True):
-                if bucket == -1:
-                    yield as_rows([(bucket, batch, asks, data, doc_id)])
-                    continue
+            for bucket, batch, asks, data, _ in zip(*(c.to_pylist() for c in rows.columns), strict=True):
                 if held and bucket != now:
                     yield from (as_rows([r]) for r in answers(now, held, own))
                     held = []
@@ -200,24 +219,23 @@ def answered(rows: DataFrame, own: bool) -> DataFrame:
         if held:
             yield from (as_rows([r]) for r in answers(now, held, own))
 
-    place = F.when(F.col("bucket") < 0, F.xxhash64("batch")).otherwise(F.col("bucket"))
-    return rows.repartition(place).sortWithinPartitions("bucket").mapInArrow(run, ROW)
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, ROW)
 
 
-def single_counts(docs: DataFrame, tokenizer_file: str) -> np.ndarray:
+def single_counts(ids: DataFrame) -> np.ndarray:
     """How often each id occurs; at ``START``, the number of texts with ids.  A table of 2**16 rows at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, total = text_ids(tokenizer_file), np.zeros(1 << 16, dtype=np.int64)
-        for batch in small_batches(batches, most=4 << 20):
-            parts = words.of(raw_texts(batch))
-            total += np.bincount(np.concatenate(parts), minlength=1 << 16)
-            total[START] += sum(len(p) > 0 for p in parts)
+        total = np.zeros(1 << 16, dtype=np.int64)
+        for batch in batches:
+            for own, sizes in map(ids_of, batch.column(0).to_pylist()):
+                total += np.bincount(own, minlength=1 << 16)
+                total[START] += np.count_nonzero(sizes)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["id", "n"])
 
     out = np.zeros(1 << 16, dtype=np.int64)
-    for row in docs.select("text").mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    for row in ids.select("data").mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect():
         out[row["id"]] = row["n"]
     return out
 
@@ -283,18 +301,19 @@ def score(docs: DataFrame, tokenizer_file: str, corpus: DataFrame | None = None,
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bits = min(32, max(size // 3 // how.bucket, 2 * parts).bit_length())
-    singles = single_counts(source, tokenizer_file)
-    rows = sent(docs, tokenizer_file, how.order, bits, True)
+    ids = coded(docs, tokenizer_file)
+    rows, source_ids = sent(ids, how.order, bits, True), ids
     if not own:
-        rows = rows.unionByName(sent(source, tokenizer_file, how.order, bits, False))
+        source_ids = coded(source, tokenizer_file)
+        rows = rows.unionByName(sent(source_ids, how.order, bits, False))
+    singles = single_counts(source_ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A batch's ids come first, then the answers to its n-grams in order."""
         now, counts = None, []
 
         def finish() -> pa.RecordBatch:
-            ids, sizes = unpacked(now[0])
-            sizes = sizes.astype(np.int64)
+            ids, sizes = ids_of(now[0])
             found = [unpacked(c) for c in counts]
             both = [np.concatenate([np.zeros(0, np.int64), *(f[k].astype(np.int64) for f in found)]) for k in (0, 1)]
             sums, backed = scores(ids, sizes, *both, singles, how, own)
@@ -313,5 +332,6 @@ def score(docs: DataFrame, tokenizer_file: str, corpus: DataFrame | None = None,
         if now:
             yield finish()
 
-    ordered = answered(rows, own).repartition("batch").sortWithinPartitions("batch", "bucket")
+    asking = ids.select(F.lit(-1).alias("bucket"), "batch", F.lit(True).alias("asks"), "data", "doc_id")
+    ordered = asking.unionByName(answered(rows, own)).repartition("batch").sortWithinPartitions("batch", "bucket")
     return ordered.mapInArrow(run, SCORES)

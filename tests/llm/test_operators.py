@@ -97,6 +97,30 @@ def test_scores_of_texts_outside_the_corpus_back_off(spark):
     assert row["n_backoff"] == row["n_tokens"] and row["mean_score"] < -1
 
 
+def test_scoring_codes_every_text_once(spark, tmp_path):
+    """Each coding of a text leaves a file."""
+    texts = ["the cat sat", "the cat ran", "", None]
+
+    def seen(batches):
+        import uuid
+
+        for batch in batches:
+            (tmp_path / uuid.uuid4().hex).write_text("")
+            yield batch
+
+    def times():
+        return len(list(tmp_path.iterdir()))
+
+    table = docs(spark, texts).coalesce(1)
+    rows = table.select("doc_id", "text").mapInArrow(seen, "doc_id bigint, text string")
+    sized = rows.agg(F.count("text")).collect()
+    before = times()
+    found = scoring.score(rows, FILE).collect()
+    # once for the size of the corpus, once for its ids
+    assert sized and before == 1 and times() - before == 2
+    assert sorted((r.doc_id, r.n_tokens) for r in found) == [(0, 3), (1, 3), (2, 0), (3, 0)]
+
+
 def test_scoring_stands_awkward_and_empty_tables(awkward, nothing):
     rows = scoring.score(awkward, FILE).collect()
     assert len(rows) == awkward.count()
